@@ -202,7 +202,7 @@ def shared_places(df: DataFrame, encode: Callable[[Iterator[pa.RecordBatch]], It
     `encode` turns Arrow batches of df into rows of SHUFFLE_SCHEMA. An owner may have several rows.
     """
     packed = df.mapInArrow(encode, "bucket int, owner bigint, payload binary")
-    placed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    placed = packed.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket")
     return placed.mapInArrow(lambda it: _decode(it, wide), "owner bigint, places binary")
 
 

@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bulaforge.llm.near_dup import NearDuplicates, Similarity, components, key_pairs, near_duplicates
 from bulaforge.llm.shared_spans import shared_chars
 from bulaforge.sources.tables import table
 
+# The tables of problem 2, numbered, and the similarity TESTDATA.md states for them.
+NEAR_TABLES = [("chunks", "chunk_id", "text"), ("sections", "section_id", "body")]
+NEAR = Similarity(run=3, threshold=0.7, min_words=20)
+
+
+def _long_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, key, text) of chunks and sections."""
+    parts = [
+        table(spark, base, name, [key, text]).select(F.lit(i).alias("tbl"), F.col(key).alias("key"), F.col(text).alias("text"))
+        for i, (name, key, text) in enumerate(NEAR_TABLES)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _table_name() -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n, _, _ in NEAR_TABLES]), F.col("tbl") + 1).alias("tbl")
+
+
+def _near(spark: SparkSession, base: str) -> NearDuplicates:
+    return near_duplicates(_long_texts(spark, base), NEAR)
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return key_pairs(_near(spark, base), NEAR).select(_table_name(), "key_a", "key_b")
+
+
+def p2_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Each record with its class of equal texts, its group and the number of classes linked to its own."""
+    return components(_near(spark, base)).select(_table_name(), "key", "cls", "component", "links")
+
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return shared_chars(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", 200)
@@ -20,5 +51,9 @@ def p10_share_by_source(spark: SparkSession, base: str) -> DataFrame:
     return joined.groupBy("source").agg(F.sum("n").alias("chars"), F.sum(F.coalesce("shared_chars", F.lit(0))).alias("shared_chars"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_share_by_source": p10_share_by_source}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p10_found": p10_found, "p10_share_by_source": p10_share_by_source,
+}
 SQL: dict[str, str] = {}
