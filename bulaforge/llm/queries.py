@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bulaforge.llm.canonical import map_values
+from bulaforge.llm.main_body import main_body
 from bulaforge.llm.near_dup import NearDuplicates, Similarity, components, key_pairs, near_duplicates
 from bulaforge.llm.shared_spans import shared_chars
-from bulaforge.sources.tables import table
+from bulaforge.llm.split_long import SplitRule, boundary_levels, split_oversized
+from bulaforge.operators.packed_fields import explode_packed
+from bulaforge.sources.tables import once_per_key, table
 
 # The tables of problem 2, numbered, and the similarity TESTDATA.md states for them.
 NEAR_TABLES = [("chunks", "chunk_id", "text"), ("sections", "section_id", "body")]
@@ -40,6 +44,57 @@ def p2_groups(spark: SparkSession, base: str) -> DataFrame:
     return components(_near(spark, base)).select(_table_name(), "key", "cls", "component", "links")
 
 
+SPLIT = SplitRule(limit=2000, overlap=200)
+
+
+def _items(spark: SparkSession, base: str) -> DataFrame:
+    """chunks and sections under their names."""
+    return _long_texts(spark, base).select(_table_name(), "key", "text")
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return boundary_levels(_items(spark, base), SPLIT)
+
+
+def p4_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """The pieces of every oversized text."""
+    return split_oversized(_items(spark, base), SPLIT)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return main_body(table(spark, base, "details", ["detail_id", "conteudo_html"]), "detail_id", "conteudo_html")
+
+
+def _canonical_rows(spark: SparkSession, base: str) -> DataFrame:
+    """(tbl, rec_key, fld, pos, kind, val): the freely typed values of listings and entities."""
+    listings = once_per_key(table(spark, base, "listings", ["listing_id", "species", "form", "ingested_at"]), "listing_id")
+    species = explode_packed(listings, ["listing_id"], {"species": "list"}).select(
+        F.lit("listings").alias("tbl"), F.col("listing_id").alias("rec_key"), "fld", "pos", F.lit("species").alias("kind"), "val"
+    )
+    form = listings.select(F.lit("listings").alias("tbl"), F.col("listing_id").alias("rec_key"), F.lit("form").alias("fld"), F.lit(1).alias("pos"), F.lit("form").alias("kind"), F.col("form").alias("val"))
+    asked = table(spark, base, "entities", ["qid", "species"]).dropDuplicates(["qid"])
+    asked = asked.select(F.lit("entities").alias("tbl"), F.col("qid").alias("rec_key"), F.lit("species").alias("fld"), F.lit(1).alias("pos"), F.lit("species").alias("kind"), F.col("species").alias("val"))
+    return species.unionByName(form).unionByName(asked)
+
+
+def _references(spark: SparkSession, base: str) -> DataFrame:
+    species = table(spark, base, "dim_species").select(F.lit("species").alias("kind"), F.col("syn_ord").alias("ord"), F.col("synonym").alias("name"), "canonical")
+    itself = table(spark, base, "dim_species").select(F.lit("species").alias("kind"), F.lit(10_000).alias("ord"), F.col("canonical").alias("name"), "canonical").distinct()
+    forms = table(spark, base, "dim_form").select(F.lit("form").alias("kind"), F.col("form_id").alias("ord"), F.col("canonical").alias("name"), "canonical")
+    return species.unionByName(itself).unionByName(forms)
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    mapped = map_values(_canonical_rows(spark, base), _references(spark, base))
+    return mapped.select("tbl", "rec_key", "fld", "pos", "canonical")
+
+
+def p7_unmatched(spark: SparkSession, base: str) -> DataFrame:
+    """The values that no entry matches, with how often they were typed."""
+    mapped = map_values(_canonical_rows(spark, base), _references(spark, base))
+    return mapped.where("canonical = 'UNMATCHED'").groupBy("tbl", "fld", "val").agg(F.count("*").alias("n"))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return shared_chars(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", 200)
 
@@ -54,6 +109,11 @@ def p10_share_by_source(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
     "p10_found": p10_found, "p10_share_by_source": p10_share_by_source,
 }
 SQL: dict[str, str] = {}
