@@ -3,13 +3,15 @@
 1. A sketch of fixed size counts the word runs of all records; its counts give one
    global order, rare runs first.
 2. Every record's runs are put in that order and cut to a prefix. The n-grams of the
-   prefix (two neighbours in the order) are the join keys. Two sets of Jaccard similarity
-   t or more differ in few runs, and each differing run parts at most one pair of
-   neighbours; with a prefix of 2(1-t)n + 2 runs one pair of common neighbours is left
-   whole, so both records hold the same key and no link is lost. A key is a pair of
-   runs, so it hardly ever meets by chance, and the candidates follow the true pairs
-   instead of growing with the square of the input.
+   prefix (g neighbours in the order) are the join keys. Two sets of Jaccard similarity
+   t or more differ in few runs, and each differing run parts at most g - 1 groups of
+   neighbours; the prefix is as long as it takes for one group of common neighbours to
+   stay whole, so both records hold the same key and no link is lost. A key of three
+   runs hardly ever meets by chance, so the candidates follow the true pairs instead of
+   growing with the square of the input. Small sets, for which three neighbours can't be
+   guaranteed, also send keys of two or one.
 3. Keys meet in packed hash buckets. Length and positional filters drop candidates there.
+   A pair must also have met in as many keys as its sizes demand.
 4. Each distinct candidate is verified once: a suffix filter (difference of the counts
    in hash ranges) and then the exact overlap.
 
@@ -23,24 +25,22 @@ gives empty output.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bulaforge.llm import buckets as B
+from bulaforge.llm.shared_spans import tables_for
 from bulaforge.session import cut
 
-WORD = re.compile(r"[^\W_]+")
 SKETCH_BITS = 18
 SKETCH_PARTS = 16
-BYTES_PER_BUCKET = 6 << 20
-BATCH_CHARS = 4_000_000
+BYTES_PER_BUCKET = 12 << 20
+BATCH_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -62,29 +62,44 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], list
     begin, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= BATCH_CHARS or i == len(texts) - 1:
+        if size >= BATCH_CHARS or i + 1 - begin >= MAX_ROWS or i == len(texts) - 1:
             yield tables[begin : i + 1], keys[begin : i + 1], texts[begin : i + 1]
             begin, size = i + 1, 0
 
 
+_WORD_CHAR: list[np.ndarray] = []
+
+
 def _runs(tables: np.ndarray, texts: list[str], how: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct word runs of each text with enough words, by row and hash."""
-    words = [WORD.findall(t.lower()) for t in texts]
-    words = [w if len(w) >= max(how.min_words, how.run) else [] for w in words]
-    n = np.array([len(w) for w in words], np.int64)
-    flat = np.array([x for w in words for x in w], dtype=object)
-    if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    codes, unique = pd.factorize(flat)
-    h = pd.util.hash_array(unique, categorize=False)[codes]
-    row = np.repeat(np.arange(len(texts)), n)
-    m = len(h) - how.run + 1
+    """(row, hash) of the word runs of each text with enough words, in order of text and place.
+
+    Words are maximal runs of letters and digits, in lower case. Their hashes come from
+    prefix sums over the code points of all texts, so no word becomes a Python object.
+    """
+    if not _WORD_CHAR:
+        _WORD_CHAR.append(np.array([chr(c).isalnum() for c in range(0x110000)]))
+    joined = "\n".join([t.lower() for t in texts]) + "\n"
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(_WORD_CHAR[0][points].view(np.int8), prepend=np.int8(0))
+    begin, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    char, power, inverse = tables_for(len(points))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(char[points] * power[: len(points)])])
+        h = B.mix64((sums[end] - sums[begin]) * inverse[begin])
+    stops = np.cumsum([len(t.lower()) + 1 for t in texts])
+    row = np.searchsorted(stops, begin, side="right")
+    n = np.bincount(row, minlength=len(texts))
+    m = max(0, len(h) - how.run + 1)
     with np.errstate(over="ignore"):
         run = B.mix64(tables.astype(np.uint64)[row[:m]] + np.uint64(0x51ED270B))
         for k in range(how.run):
             run = B.mix64(run * np.uint64(0x9E3779B97F4A7C15) + h[k : m + k])
-    whole = row[:m] == row[how.run - 1 :]
-    run, row = run[whole], row[:m][whole]
+    whole = (row[:m] == row[how.run - 1 :]) & (n[row[:m]] >= how.min_words) if m else np.zeros(0, bool)
+    return row[:m][whole], run[whole]
+
+
+def _run_sets_of(row: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs, by row and hash."""
     order = np.lexsort((run, row))
     run, row = run[order], row[order]
     first = np.ones(len(run), bool)
@@ -122,58 +137,69 @@ def rarity_levels(records: DataFrame, how: Similarity) -> np.ndarray:
     return np.floor(4 * np.log2(total + 1)).astype(np.uint8)
 
 
-def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
-    """Runs to keep of n so that one pair of neighbours of any similar set stays whole.
+def key_plan(threshold: float) -> list[tuple[int, float, float]]:
+    """(g, ratio, up to size): send keys of g neighbours from the first ratio*n + g runs of sets below that size.
 
-    With x runs of this set and y of the other outside the overlap, 2x + y + 2 runs are
-    enough; over all sizes of a similar partner 2x + y is greatest at one end of the range.
+    With x runs of a set and y of its partner outside the overlap, g neighbours stay whole
+    among the first g*x + (g-1)*y + g runs. Over all sizes of a similar partner g*x + (g-1)*y
+    is at most ratio*n; sets with ratio*n + g > n, and their partners, need shorter keys too.
     """
-    t = threshold
-    ends = [2 * (1 - t), (1 - t) / t]
-    return np.minimum(n, np.floor(max(ends) * n + 1e-9).astype(np.int64) + 2)
+    t, plan, below = threshold, [], math.inf
+    for g in (3, 2, 1):
+        ratio = max(g * (1 - t), (2 * g - 1) * (1 - t) / (1 + t), (g - 1) * (1 - t) / t)
+        if ratio < 1:
+            plan.append((g, ratio, below))
+            below = min(below, math.ceil(g / (1 - ratio)) / t)
+    return plan
+
+
+HASH_BITS, LEVEL_BITS = 40, 8
+MAX_ROWS = 1 << 16
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Similarity, buckets: int) -> Iterator[pa.RecordBatch]:
     schema = B.SHUFFLE_SCHEMA
+    low = np.uint64((1 << HASH_BITS) - 1)
     for batch in batches:
         for tables, keys, texts in _slices(batch):
             row, run = _runs(tables, texts, how)
             if not len(row):
                 continue
-            rows, first, n = np.unique(row, return_index=True, return_counts=True)
+            level = levels[(run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+            # One sort of single words: record, then level, then hash. Equal runs come together.
+            packed = (row.astype(np.uint64) << np.uint64(HASH_BITS + LEVEL_BITS)) | (level << np.uint64(HASH_BITS)) | (run >> np.uint64(64 - HASH_BITS))
+            packed.sort()
+            packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
+            of, run = (packed >> np.uint64(HASH_BITS + LEVEL_BITS)).astype(np.int64), packed & low
+            first = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
+            rows, n = of[first], np.diff(np.append(first, len(of)))
             with np.errstate(over="ignore"):
-                sums = np.add.reduceat(B.mix64(run), first)
-                owner = B.mix64(sums + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                owner = B.mix64(np.add.reduceat(B.mix64(run + np.uint64(1)), first) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                owner = B.mix64(owner + tables[rows].astype(np.uint64)).view(np.int64)
             out = [(-1 - int(o % buckets), int(o), f"{int(tables[r])}:{keys[r]}".encode()) for o, r in zip(owner, rows)]
             # Equal run sets send their keys once.
-            _, once = np.unique(owner, return_index=True)
             chosen = np.zeros(len(rows), bool)
-            chosen[once] = True
-            of = np.repeat(np.arange(len(rows)), n)
-            keep = chosen[of]
-            of, run = of[keep], run[keep]
-            level = levels[(run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-            # One sort by (record, level, hash): the level takes the top byte of the hash's place.
-            rank = (level.astype(np.uint64) << np.uint64(56)) | (run >> np.uint64(8))
-            order = np.lexsort((rank, of))
-            of, run = of[order], run[order]
-            size = n[of]
-            start = np.zeros(len(rows), np.int64)
-            starts = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
-            start[of[starts]] = starts
-            pos = np.arange(len(of)) - start[of]
-            link = np.zeros(len(of), bool)
-            link[:-1] = (of[1:] == of[:-1]) & (pos[1:] < prefix_length(size, how.threshold)[1:])
-            at = np.nonzero(link)[0]
-            with np.errstate(over="ignore"):
-                key = B.mix64(run[at] * np.uint64(0xD6E8FEB86659FD93) + run[at + 1])
+            chosen[np.unique(owner, return_index=True)[1]] = True
+            rank = np.repeat(np.arange(len(rows)), n)
+            pos, size = np.arange(len(of)) - first[rank], n[rank]
+            sent: list[tuple[np.ndarray, np.ndarray]] = []
+            for g, ratio, below in key_plan(how.threshold):
+                length = np.minimum(n, np.floor(ratio * n + 1e-9).astype(np.int64) + g)
+                at = np.nonzero((chosen & (n < below))[rank] & (pos + g <= length[rank]))[0]
+                with np.errstate(over="ignore"):
+                    key = np.full(len(at), g, np.uint64)
+                    for k in range(g):
+                        key = B.mix64(key * np.uint64(0xD6E8FEB86659FD93) + run[at + k])
+                sent.append((at, key))
+            at, key = np.concatenate([a for a, _ in sent]), np.concatenate([k for _, k in sent])
             where = (key >> np.uint64(40)) % np.uint64(buckets)
-            by = np.argsort(where, kind="stable")
+            by = np.lexsort((at, where))
             edges = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
             for b in range(buckets):
-                pick = at[by[edges[b] : edges[b + 1]]]
-                if len(pick):
-                    out.append((b, 0, _pack_keys(owner[of[pick]], size[pick], key[by[edges[b] : edges[b + 1]]], pos[pick])))
+                mine = by[edges[b] : edges[b + 1]]
+                if len(mine):
+                    pick = at[mine]
+                    out.append((b, 0, _pack_keys(owner[rank[pick]], size[pick], key[mine], pos[pick])))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(cols, schema)], schema=schema)
 
@@ -181,7 +207,9 @@ def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Simila
 def _pack_keys(owner: np.ndarray, size: np.ndarray, key: np.ndarray, pos: np.ndarray) -> bytes:
     first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
     counts = np.diff(np.append(first, len(owner)))
-    small = B._squeeze(np.concatenate([counts, size[first], pos]))
+    step = np.diff(pos, prepend=0)
+    step[first] = pos[first]
+    small = B._squeeze(np.concatenate([counts, size[first], step]))
     head = np.array([len(first), len(owner), len(small)], "<u4").tobytes()
     return head + owner[first].astype("<i8").tobytes() + small + (key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
@@ -193,11 +221,15 @@ def _unpack_keys(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     small = B._expand(b[at : at + length], 2 * owners + n)
     counts = small[:owners].astype(np.int64)
     key = np.frombuffer(b, "<u4", n, at + length)
-    return np.repeat(own, counts), np.repeat(small[owners : 2 * owners], counts), key, small[2 * owners :]
+    step = small[2 * owners :].astype(np.int64)
+    total, begin = np.cumsum(step), np.cumsum(counts) - counts
+    pos = total - np.repeat(total[begin] - step[begin], counts)
+    return np.repeat(own, counts), np.repeat(small[owners : 2 * owners], counts), key, pos.astype(np.uint32)
 
 
-def _candidates(parts: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of owners that hold the same key and pass the length and positional filters."""
+def _candidates(parts: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, met, needed): pairs of owners that hold the same key and pass the length and
+    positional filters, how many keys they met in here, and how many they must meet in over all buckets."""
     owner, size, key, pos = (np.concatenate(x) for x in zip(*[_unpack_keys(p) for p in parts]))
     # Keys held once can't meet: drop them before the full sort.
     order = np.argsort(key, kind="stable")
@@ -210,7 +242,7 @@ def _candidates(parts: list[bytes], threshold: float) -> Iterator[tuple[np.ndarr
     owner, size, key, pos = owner[order], size[order].astype(np.float64), key[order], pos[order].astype(np.float64)
     order = np.lexsort((owner, key))
     owner, size, key, pos = owner[order], size[order], key[order], pos[order]
-    waiting: list[np.ndarray] = []
+    waiting: list[tuple[np.ndarray, ...]] = []
     held = 0
     for step in range(1, len(key)):
         i = np.nonzero(key[step:] == key[:-step])[0]
@@ -219,30 +251,42 @@ def _candidates(parts: list[bytes], threshold: float) -> Iterator[tuple[np.ndarr
         j = i + step
         ok = owner[i] != owner[j]
         ok &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
-        need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
+        common = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
         most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
-        i, j = i[ok & (most >= need)], j[ok & (most >= need)]
-        waiting.append(np.stack([owner[i], owner[j]]))
+        ok &= most >= common
+        i, j = i[ok], j[ok]
+        waiting.append((owner[i], owner[j], _keys_needed(size[i], size[j], common[ok], threshold)))
         held += len(i)
         if held > B.SLICE:
-            yield _distinct_pairs(waiting)
+            yield _counted_pairs(waiting)
             waiting, held = [], 0
     if waiting:
-        yield _distinct_pairs(waiting)
+        yield _counted_pairs(waiting)
+
 
+def _keys_needed(n: np.ndarray, m: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of the longest kind that sets of n and m runs share at least, if `common` runs are common:
+    of the prefix that ends first, all but those the differing runs part."""
+    g, ratio, _ = key_plan(threshold)[0]
+    x, y = n - common, m - common
+    length = lambda k: np.minimum(k, np.floor(ratio * k + 1e-9) + g)
+    whole = np.minimum(length(n) - g * x - (g - 1) * y, length(m) - g * y - (g - 1) * x) - (g - 1)
+    return np.clip(whole, 1, 30_000).astype(np.int16)
 
-def _distinct_pairs(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    both = np.concatenate(parts, axis=1)
-    a, b = np.minimum(*both), np.maximum(*both)
+
+def _counted_pairs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    u, v, need = (np.concatenate(x) for x in zip(*parts))
+    a, b = np.minimum(u, v), np.maximum(u, v)
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, need = a[order], b[order], need[order]
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first], b[first]
+    begin = np.nonzero(first)[0]
+    return a[begin], b[begin], np.diff(np.append(begin, len(a))).astype(np.int32), need[begin]
 
 
-STAGE = "a bigint, b bigint, tbl int, key string"
-_STAGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tbl", pa.int32()), ("key", pa.string())])
+STAGE = "a bigint, b bigint, met int, needed smallint, tbl int, key string"
+_STAGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32()), ("needed", pa.int16()), ("tbl", pa.int32()), ("key", pa.string())])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -250,9 +294,9 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 
     def pairs(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         if parts:
-            for a, b in _candidates(parts, threshold):
-                none = pa.nulls(len(a), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, pa.nulls(len(a), pa.string())], schema=_STAGE_SCHEMA)
+            for found in _candidates(parts, threshold):
+                n = len(found[0])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in found], pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_STAGE_SCHEMA)
 
     current, parts = None, []
     for batch in batches:
@@ -260,7 +304,8 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         passing = batch.filter(pa.array(bucket < 0))
         if passing.num_rows:
             said = [p.split(b":", 1) for p in passing.column(2).to_pylist()]
-            cols = [passing.column(1), pa.nulls(len(said), pa.int64()), pa.array([int(s[0]) for s in said], pa.int32()), pa.array([s[1].decode() for s in said], pa.string())]
+            empty = [pa.nulls(len(said), t) for t in (pa.int64(), pa.int32(), pa.int16())]
+            cols = [passing.column(1), *empty, pa.array([int(s[0]) for s in said], pa.int32()), pa.array([s[1].decode() for s in said], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, schema=_STAGE_SCHEMA)
         for k, payload in zip(bucket, batch.column(2)):
             if k < 0:
@@ -275,18 +320,21 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 def _run_sets(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for tables, keys, texts in _slices(batch):
-            row, run = _runs(tables, texts, how)
+            row, run = _run_sets_of(*_runs(tables, texts, how))
             if not len(row):
                 continue
             rows, first, n = np.unique(row, return_index=True, return_counts=True)
-            sets = [run[a : a + k].tobytes() for a, k in zip(first, n)]
+            # The upper 40 bits of each hash: two of a pair's few differing runs agree in them once in 10**9 pairs.
+            short = (run >> np.uint64(64 - HASH_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].copy()
+            sets = [short[a : a + k].tobytes() for a, k in zip(first, n)]
             yield pa.RecordBatch.from_pydict({"tbl": pa.array(tables[rows], pa.int32()), "key": pa.array([keys[r] for r in rows], pa.string()), "runs": pa.array(sets, pa.binary())})
 
 
 def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     need = math.ceil(threshold / (1 + threshold) * (len(a) + len(b)) - 1e-9)
     # Suffix filter: sets that differ in the counts of hash ranges differ at least that much.
-    spread = np.abs(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=64) - np.bincount((b >> np.uint64(58)).astype(np.int64), minlength=64)).sum()
+    top = np.uint64(HASH_BITS - 6)
+    spread = np.abs(np.bincount((a >> top).astype(np.int64), minlength=64) - np.bincount((b >> top).astype(np.int64), minlength=64)).sum()
     if spread > len(a) + len(b) - 2 * need:
         return False
     both = np.concatenate([a, b])
@@ -294,9 +342,16 @@ def _similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= need
 
 
+def _widen(b: pa.Buffer) -> np.ndarray:
+    short = np.frombuffer(b, np.uint8).reshape(-1, HASH_BITS // 8)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, : HASH_BITS // 8] = short
+    return wide.view("<u8").ravel()
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (2, 3)]
+        sets = [[_widen(x.as_buffer()) for x in batch.column(k)] for k in (2, 3)]
         ok = np.array([_similar(a, b, threshold) for a, b in zip(*sets)], bool)
         yield batch.select([0, 1]).filter(pa.array(ok))
 
@@ -319,7 +374,9 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     packed = texts.mapInArrow(lambda it: _key_rows(it, levels.value, how, n), "bucket int, owner bigint, payload binary")
     stage = cut(packed.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(lambda it: _meet(it, how.threshold), STAGE))
     classes = stage.where("b is null").select(F.col("a").alias("cls"), "tbl", "key").distinct()
-    pairs = stage.where("b is not null").select("a", "b").distinct()
+    # Pairs that meet in fewer keys than similar sets must are chance meetings.
+    met = stage.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("needed").alias("needed"))
+    pairs = cut(met.where("met >= needed").select("a", "b"))
     # The run sets of the classes that have a candidate, from one record each.
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = cut(classes.groupBy("cls", "tbl").agg(F.min("key").alias("key")).join(needed, "cls", "left_semi").withColumn("kh", F.xxhash64("tbl", "key")))

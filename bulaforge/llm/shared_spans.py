@@ -52,7 +52,7 @@ def difference_cover(period: int) -> tuple[int, ...]:
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables_for(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random word per code point; powers of the base and of its inverse."""
     if "char" not in _TABLES:
         _TABLES["char"] = B.mix64(np.arange(0x110000, dtype=np.uint64) * np.uint64(BASE) + np.uint64(1)) | np.uint64(1)
@@ -92,7 +92,7 @@ class _Windows:
         self.own = np.array([b - a for _, a, b in group])
         self.row = np.array([r for r, _, _ in group])
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        char, power, self.inverse = _tables(len(points))
+        char, power, self.inverse = tables_for(len(points))
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(char[points] * power[: len(points)])])
 
