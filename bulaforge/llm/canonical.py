@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bulaforge.session import cut as cut_lineage
+
 UNMATCHED = "UNMATCHED"
 #: Abbreviations that aren't beginnings of what they mean.
 CONVENTIONAL = {"form": {"cp": "comprimidos", "cps": "comprimidos", "cpr": "comprimidos", "cprs": "comprimidos"}}
@@ -43,7 +45,8 @@ def edits_allowed(length: Column) -> Column:
 def dictionary(values: DataFrame, references: DataFrame) -> DataFrame:
     """values(kind, v) × references(kind, ord, name, canonical) → (kind, v, canonical) for the values that match."""
     refs = references.select("kind", "ord", folded(F.col("name")).alias("r"), "canonical").where(F.length("r") > 0)
-    todo = values.where(F.length("v") > 0).distinct()
+    # Written once: every step below reads the distinct values again.
+    todo = cut_lineage(values.where(F.length("v") > 0).distinct())
 
     exact = todo.join(refs, (todo.kind == refs.kind) & (todo.v == refs.r)).groupBy(todo.kind, todo.v).agg(F.min_by("canonical", "ord").alias("canonical"))
     known = [(k, a, c) for k, pairs in CONVENTIONAL.items() for a, c in pairs.items()]
@@ -61,9 +64,9 @@ def dictionary(values: DataFrame, references: DataFrame) -> DataFrame:
     begun = begun.where(F.expr("forall(filter(split(v, ' '), x -> length(x) > 1 AND x <> 'cut'), x -> exists(split(r, ' '), y -> startswith(y, x)))"))
     abbreviated = begun.groupBy("kind", "v").agg(F.min_by("canonical", F.struct(F.size(F.split("r", " ")), F.length("r"), "ord")).alias("canonical"))
 
-    # Pigeonhole join.
-    open_ = rest.join(abbreviated, ["kind", "v"], "left_anti")
-    cut = refs.withColumn("len", F.length("r")).withColumn("k", edits_allowed(F.col("len")))
+    # Pigeonhole join, without blanks: a missing or doubled blank is no edit.
+    open_ = rest.join(abbreviated, ["kind", "v"], "left_anti").withColumn("whole", F.col("v")).withColumn("v", F.replace("v", F.lit(" "), F.lit("")))
+    cut = refs.withColumn("r", F.replace("r", F.lit(" "), F.lit(""))).withColumn("len", F.length("r")).withColumn("k", edits_allowed(F.col("len")))
     segments = cut.select("kind", "ord", "r", "canonical", "len", "k", F.explode(F.expr("sequence(0, k)")).alias("i")).withColumn(
         "seg", F.expr("substring(r, cast(floor(i * len / (k + 1)) as int) + 1, cast(floor((i + 1) * len / (k + 1)) - floor(i * len / (k + 1)) as int))")
     )
@@ -71,6 +74,7 @@ def dictionary(values: DataFrame, references: DataFrame) -> DataFrame:
     probes = (
         open_.withColumn("n", F.length("v"))
         .select("kind", "v", "n", F.explode(F.expr("sequence(greatest(n - 3, 1), n + 3)")).alias("len"))
+        .distinct()
         .withColumn("k", edits_allowed(F.col("len")))
         .where(F.abs(F.col("n") - F.col("len")) <= F.col("k"))
         .select("kind", "v", "n", "len", "k", F.explode(F.expr("sequence(0, k)")).alias("i"))
@@ -85,7 +89,8 @@ def dictionary(values: DataFrame, references: DataFrame) -> DataFrame:
     candidates = probes.select("kind", "v", "len", "i", "seg").join(segments, ["kind", "len", "i", "seg"]).select("kind", "v", "ord", "r", "canonical", "k").distinct()
     near = candidates.withColumn("d", F.expr("levenshtein(v, r, k)")).where("d >= 0")
     order = F.struct("d", F.substring("v", 1, 1) != F.substring("r", 1, 1), F.length("v") != F.length("r"), "ord")
-    fuzzy = near.groupBy("kind", "v").agg(F.min_by("canonical", order).alias("canonical"))
+    best = near.groupBy("kind", "v").agg(F.min_by("canonical", order).alias("canonical"))
+    fuzzy = open_.join(best, ["kind", "v"]).select("kind", F.col("whole").alias("v"), "canonical")
     return direct.unionByName(abbreviated).unionByName(fuzzy)
 
 
@@ -94,7 +99,7 @@ def map_values(rows: DataFrame, references: DataFrame) -> DataFrame:
 
     Columns of rows other than kind and val are kept; a column named `canonical`, `v` or `kind_v` is replaced."""
     full = rows.where(F.col("val").isNotNull() & F.col("val").rlike(r"[^\s ]")).withColumn("v", folded(F.col("val")))
-    known = dictionary(full.select("kind", "v"), references)
+    known = cut_lineage(dictionary(full.select("kind", "v"), references))
     matched = full.join(known, ["kind", "v"])
     missed = full.join(known, ["kind", "v"], "left_anti").withColumn("canonical", F.lit(UNMATCHED))
     return matched.unionByName(missed).drop("v")

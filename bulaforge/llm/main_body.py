@@ -1,18 +1,19 @@
-"""Main body of web pages by line-block distribution, with corpus statistics of repeated blocks.
+"""Main body of web pages by line-block distribution, with corpus statistics of repeated lines.
 
 A page is stripped of its markup into lines, one per block (heading, paragraph, list
 item, table cell, definition term, text directly in a div). The text lengths outside
 links are summed over sliding windows of lines; the body lies between the line where
-the sums surge and the one where they dive. Two rounds:
+the sums surge and the one where they dive. Pages of one site repeat the lines of their
+frame, so three rounds go over all pages:
 
-1. Over all pages, each distinct line (digits and names masked) is counted inside and
-   outside the span that its pages' distributions give. A line that lies outside more
-   often than inside is part of the sites' frames, wherever it stands.
-2. Each page is decided again with those lines, link lines and frame elements taken as
-   empty: the product heading or the surge begins the body, the dive ends it, and
-   what is empty inside is left out.
+1. Each distinct line (digits and names masked) is counted over all pages.
+2. The distribution of each page is taken over its lines that don't recur, and the
+   recurring lines are counted inside and outside the span between surge and dive:
+   headings and table labels lie inside, navigation, notices and footers outside.
+3. Each page is decided with the frame lines, link lines and frame elements as empty:
+   the product heading or the surge begins the body, and what is empty is left out.
 
-Only line hashes are shuffled for the counts; the set of frame lines is joined, not
+Only line hashes are shuffled for the counts; the sets of lines are joined, not
 collected. Defined results: null, blank and error pages give no rows; plain text is
 read line by line; a block that occurs twice on a page gives one row; repeated rows of
 a page count once; unclosed tags end where the next block begins.
@@ -31,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bulaforge.session import cut
+
 WINDOW = 3
 SURGE = 80
 LINK_SHARE = 0.5
 MIN_PAGES = 3
+COMMON_SHARE = 0.01
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|title|template|svg|head(?=\s*>)(?!))\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^<>]*>|[^<]+|<",
@@ -57,16 +61,20 @@ class Line:
     tag: str
     links: float
     framed: bool
+    depth: int
     anchors: list[str] = field(default_factory=list)
 
 
-def _finish(parts: list[tuple[str, bool]], tag: str, framed: bool, out: list[Line]) -> None:
+def _finish(parts: list[tuple[str, bool]], stack: list[str], framed: bool, out: list[Line]) -> None:
     text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
     if text:
         letters = lambda s: sum(c.isalnum() for c in s)
         anchors = [_SPACE.sub(" ", html.unescape(p)).strip() for p, link in parts if link]
         share = sum(letters(a) for a in anchors) / max(1, letters(text))
-        out.append(Line(text, tag, share, framed, [a for a in anchors if a]))
+        tag = stack[-1].split(":")[0] if stack else ""
+        # Boxes inside a div: text directly in a div counts as standing beside it.
+        depth = sum(t.startswith("div") for t in stack[:-1])
+        out.append(Line(text, tag, share, framed, depth, [a for a in anchors if a]))
     parts.clear()
 
 
@@ -74,7 +82,7 @@ def page_lines(page: str) -> list[Line]:
     """The blocks of a page in order; plain text gives its non-blank lines."""
     if not _HAS_TAG.search(page):
         lines = (_SPACE.sub(" ", html.unescape(x)).strip() for x in re.split(r"[\r\n]+", page))
-        return [Line(x, "", 0.0, False) for x in lines if x]
+        return [Line(x, "", 0.0, False, 0) for x in lines if x]
     out: list[Line] = []
     parts: list[tuple[str, bool]] = []
     stack: list[str] = []
@@ -94,7 +102,7 @@ def page_lines(page: str) -> list[Line]:
         elif name == "a":
             link = 0 if closing else 1
         elif name not in INLINE:
-            _finish(parts, next((s.split(":")[0] for s in reversed(stack)), ""), frames > 0, out)
+            _finish(parts, stack, frames > 0, out)
             link = 0
             if name in VOID:
                 continue
@@ -111,7 +119,7 @@ def page_lines(page: str) -> list[Line]:
                 frame = name in FRAME or "dialog" in attrs.lower()
                 frames += frame
                 stack.append(name + (":f" if frame else ""))
-    _finish(parts, next((s.split(":")[0] for s in reversed(stack)), ""), frames > 0, out)
+    _finish(parts, stack, frames > 0, out)
     return out
 
 
@@ -138,66 +146,76 @@ def _first_heading(lines: list[Line]) -> int | None:
     return next((i for i, x in enumerate(lines) if x.tag == "h1" and not x.framed), None)
 
 
-def _statistics(lines: list[Line]) -> Iterator[tuple[str, int, int]]:
-    """(key, inside, outside) of each line, by the page's own distribution; anchors count as outside."""
-    tagged = any(x.tag for x in lines)
-    if not tagged:
+def _box_headings(lines: list[Line]) -> set[int]:
+    """Headings with nothing but a list of links below."""
+    head = ("h2", "h3", "h4", "h5", "h6")
+    return {i for i, x in enumerate(lines[:-1]) if x.tag in head and lines[i + 1].tag == "li" and lines[i + 1].links >= LINK_SHARE}
+
+
+def _statistics(lines: list[Line], recurring: set[int]) -> Iterator[tuple[str, int, int]]:
+    """(key, inside, outside) of the recurring lines of a marked-up page; anchors count as outside."""
+    if not any(x.tag for x in lines):
         return
     top = _first_heading(lines)
-    own = span([0 if x.framed or x.links >= LINK_SHARE else len(x.text) for x in lines])
+    own = span([0 if i in recurring or x.framed or x.links >= LINK_SHARE else len(x.text) for i, x in enumerate(lines)])
+    boxes = _box_headings(lines)
+    level = lines[top].depth if top is not None else 0
     for i, x in enumerate(lines):
         inside = top is not None and own is not None and top <= i <= own[1] and not x.framed
         if x.links >= LINK_SHARE:
-            # Links inside the body may repeat its headings; they speak neither way for those.
-            yield line_key(x.text), 0, 0 if inside else 1
-            if len(x.anchors) > 1 or inside:
+            # Links inside the body may repeat its headings: their lines say nothing of those.
+            yield line_key(x.text), 0, 0 if inside and x.tag == "li" else 1
+            if len(x.anchors) > 1:
                 for a in x.anchors:
                     yield line_key(a), 0, 1
         else:
-            yield line_key(x.text), int(inside), int(not inside)
+            boxed = i in boxes or x.depth > level
+            yield line_key(x.text), int(inside and not boxed), int(not inside or boxed)
 
 
-def body(lines: list[Line], frame_lines: set[int]) -> list[str]:
-    """The distinct blocks of the main body. frame_lines: the lines known to belong to frames."""
+def body(lines: list[Line], frame_lines: set[int], body_lines: set[int], common_lines: set[int]) -> list[str]:
+    """The distinct blocks of the main body. frame_lines and body_lines: the recurring lines of either kind;
+    common_lines: the frame lines that many pages show."""
     empty = [x.framed or x.links >= LINK_SHARE or i in frame_lines for i, x in enumerate(lines)]
+    top = _first_heading(lines)
     if any(x.tag for x in lines):
-        for i, x in enumerate(lines[:-1]):
-            # A heading with nothing but links below is a box of its own.
-            if x.tag in ("h2", "h3", "h4", "h5", "h6") and not empty[i] and lines[i + 1].links >= LINK_SHARE and lines[i + 1].tag == "li":
-                empty[i] = i + 1 in frame_lines or len(lines[i + 1].anchors) > 0 and not lines[i + 1].text.lower().startswith("#")
+        for i in _box_headings(lines):
+            empty[i] = True
     else:
         begun = False
         for i, x in enumerate(lines):
-            if not empty[i] and begun and i and empty[i - 1] and _NAME_LINE.match(x.text):
+            name = i not in body_lines and _NAME_LINE.match(x.text) is not None
+            # A name below the heading of a box belongs to the box.
+            if not empty[i] and begun and name and empty[i - 1]:
                 empty[i] = True
             begun = begun or not empty[i]
-    top = _first_heading(lines)
-    lengths = [0 if e else len(x.text) for e, x in zip(empty, lines)]
+        # The product heading stands above the first line of the body, also where boxes of other pages name it.
+        first = next((i for i, e in enumerate(empty) if not e), 0)
+        above = first - 1
+        while above >= 0 and above in common_lines:
+            above -= 1
+        if above >= 0 and first in body_lines and " — " not in lines[first].text and _NAME_LINE.match(lines[above].text):
+            empty[above] = False
     if top is not None:
-        first = top
+        first, empty[top] = top, False
     else:
         # Frame lines are gone, so the surge stands right below the headings of the body.
         kept = [i for i, e in enumerate(empty) if not e]
-        found = span([lengths[i] for i in kept])
-        if found is None:
+        if span([len(lines[i].text) for i in kept]) is None:
             return []
-        first = kept[found[0]]
-        while first > 0 and not empty[first - 1]:
-            first -= 1
-    out = [x.text for i, x in enumerate(lines) if i >= first and not empty[i]]
-    return list(dict.fromkeys(out))
+        first = kept[0]
+    return list(dict.fromkeys(x.text for i, x in enumerate(lines) if i >= first and not empty[i]))
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys: dict[str, list[int]] = {}
-        for page in batch.column(0).to_pylist():
-            for key, inside, outside in _statistics(page_lines(page)):
+        for page, recurring in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for key, inside, outside in _statistics(page_lines(page), set(recurring or ())):
                 k = keys.setdefault(key, [0, 0])
                 k[0] += inside
                 k[1] += outside
-        h = _hashes(list(keys))
-        cols = [pa.array(h, pa.int64()), pa.array([k[0] for k in keys.values()], pa.int64()), pa.array([k[1] for k in keys.values()], pa.int64())]
+        cols = [pa.array(_hashes(list(keys)), pa.int64()), pa.array([k[0] for k in keys.values()], pa.int64()), pa.array([k[1] for k in keys.values()], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["h", "inside", "outside"])
 
 
@@ -206,39 +224,51 @@ def _hashes(keys: list[str]) -> np.ndarray:
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ord, h, first): the lines of each page; first is 1 where a page shows its line for the first time."""
     for batch in batches:
-        ids, ords, keys = [], [], []
+        ids, ords, keys, firsts = [], [], [], []
         for i, page in enumerate(batch.column(1).to_pylist()):
+            seen: set[str] = set()
             for k, x in enumerate(page_lines(page)):
+                key = line_key(x.text)
                 ids.append(i)
                 ords.append(k)
-                keys.append(line_key(x.text))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ords, pa.int32()), pa.array(_hashes(keys), pa.int64())], names=["id", "ord", "h"])
+                keys.append(key)
+                firsts.append(int(key not in seen))
+                seen.add(key)
+        cols = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ords, pa.int32()), pa.array(_hashes(keys), pa.int64()), pa.array(firsts, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "ord", "h", "first"])
 
 
 def _body_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, blocks = [], []
-        for i, (page, frame) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            found = body(page_lines(page), set(frame or ()))
+        for i, (page, frame, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+            framed = {k for k, _ in frame or ()}
+            found = body(page_lines(page), framed, set(own or ()), {k for k, common in frame or () if common})
             ids += [i] * len(found)
             blocks += found
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(blocks, pa.string())], names=["id", "block"])
 
 
 def main_body(pages: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, block): the distinct blocks of the main body of each page. One row of pages per key."""
+    """(key, block): the distinct blocks of the main body of each page."""
     p = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{content}`").alias("page")).where("id is not null and page is not null")
     kind = p.schema["id"].dataType.simpleString()
-    counts = p.select("page").mapInArrow(_count_batches, "h bigint, inside bigint, outside bigint")
-    frame = (
-        counts.groupBy("h")
-        .agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-        .where((F.col("outside") >= MIN_PAGES) & (F.col("outside") > F.col("inside")))
-        .select("h")
-    )
-    keys = p.mapInArrow(_key_batches, f"id {kind}, ord int, h bigint")
-    framed = keys.join(frame, "h").groupBy("id").agg(F.collect_set("ord").alias("frame"))
     once = p.groupBy("id").agg(F.min("page").alias("page"))
-    decided = once.join(framed, "id", "left").select("id", "page", "frame").mapInArrow(_body_batches, f"id {kind}, block string")
+    lines = cut(once.mapInArrow(_key_batches, f"id {kind}, ord int, h bigint, first int"))
+    recurring = lines.groupBy("h").agg(F.sum("first").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("h")
+    shown = lines.join(recurring, "h").groupBy("id").agg(F.collect_set("ord").alias("recurring"))
+    counts = once.join(shown, "id", "left").select("id", "page", "recurring").mapInArrow(_stat_batches, "h bigint, inside bigint, outside bigint")
+    total = counts.groupBy("h").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    many = COMMON_SHARE * lines.where("ord = 0").count()
+    placed = cut(
+        total.where(F.col("inside") + F.col("outside") >= MIN_PAGES).select(
+            "h", (F.col("outside") > F.col("inside")).alias("frame"), (F.col("outside") >= many).alias("common")
+        )
+    )
+    kinds = lines.join(placed, "h").groupBy("id").agg(
+        F.collect_set(F.when(F.col("frame"), F.array(F.col("ord"), F.col("common").cast("int")))).alias("frame"), F.collect_set(F.when(~F.col("frame"), F.col("ord"))).alias("own")
+    )
+    decided = once.join(kinds, "id", "left").select("id", "page", "frame", "own").mapInArrow(_body_batches, f"id {kind}, block string")
     return decided.select(F.col("id").alias(key), "block")

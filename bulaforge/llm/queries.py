@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bulaforge.llm.answer_defects import defect_labels, main_defect
 from bulaforge.llm.canonical import map_values
 from bulaforge.llm.main_body import main_body
 from bulaforge.llm.near_dup import NearDuplicates, Similarity, components, key_pairs, near_duplicates
@@ -44,6 +45,22 @@ def p2_groups(spark: SparkSession, base: str) -> DataFrame:
     return components(_near(spark, base)).select(_table_name(), "key", "cls", "component", "links")
 
 
+def _answer_pairs(spark: SparkSession, base: str) -> DataFrame:
+    answers = once_per_key(table(spark, base, "answers", ["answer_id", "qid", "response", "found", "ingested_at"]), "answer_id")
+    questions = once_per_key(table(spark, base, "questions", ["qid", "text", "ingested_at"]), "qid")
+    joined = answers.join(questions.select("qid", F.col("text").alias("question")), "qid", "left")
+    return joined.select(F.col("answer_id").alias("id"), "question", "response", "found")
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return main_defect(defect_labels(_answer_pairs(spark, base))).select(F.col("id").alias("answer_id"), "defect")
+
+
+def p3_labels(spark: SparkSession, base: str) -> DataFrame:
+    """Every label that passes its cutoff, several per answer where they do."""
+    return defect_labels(_answer_pairs(spark, base)).select(F.col("id").alias("answer_id"), "defect", F.round("posterior", 4).alias("posterior"))
+
+
 SPLIT = SplitRule(limit=2000, overlap=200)
 
 
@@ -109,6 +126,8 @@ def p10_share_by_source(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_labels": p3_labels,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
