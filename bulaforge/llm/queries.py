@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from bulaforge.llm.answer_defects import defect_labels, main_defect
 from bulaforge.llm.canonical import map_values
 from bulaforge.llm.main_body import main_body
+from bulaforge.llm.mixing import Target, mix, shares
 from bulaforge.llm.near_dup import NearDuplicates, Similarity, components, key_pairs, near_duplicates
+from bulaforge.llm.packing import pack
 from bulaforge.llm.shared_spans import shared_chars
 from bulaforge.llm.split_long import SplitRule, boundary_levels, split_oversized
+from bulaforge.llm.tokens import Tokenizer, token_pieces
 from bulaforge.operators.packed_fields import explode_packed
 from bulaforge.sources.tables import once_per_key, table
 
@@ -112,6 +115,41 @@ def p7_unmatched(spark: SparkSession, base: str) -> DataFrame:
     return mapped.where("canonical = 'UNMATCHED'").groupBy("tbl", "fld", "val").agg(F.count("*").alias("n"))
 
 
+CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with text, or its pieces, with the container of CAPACITY tokens it lies in."""
+    pieces = token_pieces(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", Tokenizer.public(), CAPACITY)
+    return pack(pieces, CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers, tokens, unused share and the fewest containers that could hold the tokens."""
+    held = p8_containers(spark, base).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return held.agg(
+        F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"),
+        (1 - F.sum("n") / (F.count("*") * F.lit(CAPACITY))).alias("unused_share"), F.ceil(F.sum("n") / F.lit(CAPACITY)).alias("bound"),
+    )
+
+
+def _targets(spark: SparkSession, base: str) -> list[Target]:
+    """mix_targets is a fixed list of sources, bounded by MAX_SOURCES."""
+    rows = table(spark, base, "mix_targets").orderBy("source").collect()
+    return [Target(r["source"], r["target_share"], r["max_repeats"]) for r in rows]
+
+
+def p9_sample(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of the mixture with their source and number of uses."""
+    docs = table(spark, base, "documents", ["doc_id", "text", "source"])
+    return mix(docs, "doc_id", "text", "source", _targets(spark, base), Tokenizer.public())
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return shares(p9_sample(spark, base), _targets(spark, base))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return shared_chars(table(spark, base, "documents", ["doc_id", "text"]), "doc_id", "text", 200)
 
@@ -133,6 +171,10 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_sample": p9_sample,
+    "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_share_by_source": p10_share_by_source,
 }
 SQL: dict[str, str] = {}
