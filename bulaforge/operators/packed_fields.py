@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　﻿"
+WHITE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 EDGE = WHITE + ";|,•·/&+-–—"
 #: The words for "and" in the languages of the data.
 AND_WORDS = ("e", "y", "et", "and")

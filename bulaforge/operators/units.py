@@ -39,7 +39,7 @@ WEIGHT_NAMES = [
 #: Names that are near a unit's name and aren't one.
 OTHER_NAMES = ["animal", "dia", "dose", "cabeca", "quarto", "toma", "comprimido", "gota", "gotas", "saqueta", "pulverizacao", "hora", "semana", "ml"]
 
-_N = r"(?:[¼½¾⅓⅔⅛]|\d{1,3}(?:[   ]\d{3})+(?:[.,]\d+)?(?![\d])|\d+(?:[.,]\d+)*)"
+_N = r"(?:[¼½¾⅓⅔⅛]|\d{1,3}(?:[ \u00a0\u202f\u2009]\d{3})+(?:[.,]\d+)?(?![\d])|\d+(?:[.,]\d+)*)"
 _RANGE = rf"(?:entre\s+)?{_N}(?:\s*(?:a|e|até|-|–|—)\s*{_N})?"
 _UNIT = r"(?:mil\s+|milh(?:ão|ões)\s+(?:de\s+)?)?[\p{L}µμ%?.³²3]+(?:\s+internacion\p{L}+)?"
 _DEN = rf"\s*(?:/|por\s+(?:cada\s+)?|per\s+|cada\s+)\s*({_N})?\s*([\p{{L}}]+(?:\s?p\.?v\b)?)"
@@ -49,13 +49,13 @@ MIN_FUZZY, MAX_SHARE = 5, 0.2
 def spelling(c: Column) -> Column:
     """Lower case without accents, marks and outer blanks; both micro signs become u."""
     plain = F.translate(F.lower(c), "áàâãäéèêëíìîïóòôõöúùûüçñµμ", "aaaaaeeeeiiiiooooouuuucnuu")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[.?\-]", ""), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[.?\-]", ""), r"[\s\u00a0]+", " "))
 
 
 def number(c: Column) -> Column:
     """Value of a written number: comma decimal; dot decimal unless a comma follows; blanks group thousands."""
     fractions = {"¼": 0.25, "½": 0.5, "¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 0.125}
-    bare = F.regexp_replace(c, r"[   ]", "")
+    bare = F.regexp_replace(c, r"[ \u00a0\u202f\u2009]", "")
     plain = F.when(F.contains(bare, F.lit(",")), F.translate(F.translate(bare, ".", ""), ",", ".")).otherwise(bare)
     out = plain.try_cast("double")
     for sign, value in fractions.items():
@@ -133,10 +133,10 @@ def known_names(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def _mentions(df: DataFrame) -> DataFrame:
     """One row per place that may state the unit: the rest of valor, unidade, each copy of the number in contexto."""
-    lit = F.regexp_extract("valor", rf"(?iu)^[\s ]*({_RANGE})", 1)
+    lit = F.regexp_extract("valor", rf"(?iu)^[\s\u00a0]*({_RANGE})", 1)
     base = df.withColumn("lit", lit).where(F.length("lit") > 0)
     after = rf"(?iu)^\s*({_UNIT})?(?:{_DEN})?"
-    rest = F.regexp_replace("valor", rf"(?iu)^[\s ]*{_RANGE}", "")
+    rest = F.regexp_replace("valor", rf"(?iu)^[\s\u00a0]*{_RANGE}", "")
     # The number as written, neither preceded nor followed by more digits of its own.
     here = F.concat(F.lit(r"(?iu)(?<![\d.,])\Q"), F.col("lit"), F.lit(r"\E(?!\d|[.,]\d)((?:\s*" + _UNIT + r")?(?:" + _DEN.replace("(" + _N + ")?", _N + "?").replace(r"([\p{L}]+(?:\s?p\.?v\b)?)", r"[\p{L}]+(?:\s?p\.?v\b)?") + r")?)"))
     places = F.concat(
