@@ -124,7 +124,7 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: list[Target]
     spark = docs.sparkSession
     bits = F.create_map(*[x for k, t in enumerate(targets) for x in (F.lit(t.source), F.lit(1 << k))]) if targets else None
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("src"), F.col(f"`{text}`").alias("body"))
-    rows = rows.where(F.col("src").isin([t.source for t in targets]) & F.col("body").rlike(r"[^\s ]"))
+    rows = rows.where(F.col("src").isin([t.source for t in targets]) & F.col("body").rlike(r"[^\s\u00a0]"))
     rows = rows.select("id", F.try_element_at(bits, F.col("src")).cast("bigint").alias("bit"), F.xxhash64("body").alias("th"), "body")
     counted = token_counts(rows, "body", tokenizer)
     # One row per text: its sources, one document of each, its place in the seeded order.

@@ -91,7 +91,7 @@ def pieces_of(text: str, tokenizer: Tokenizer, capacity: int) -> list[tuple[int,
 
 def token_pieces(df: DataFrame, key: str, text: str, tokenizer: Tokenizer, capacity: int) -> DataFrame:
     """(id, piece_no, begin_char, end_char, n_tokens) of every record whose text isn't blank."""
-    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(r"[^\s ]"))
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").rlike(r"[^\s\u00a0]"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
