@@ -19,18 +19,18 @@ def extract(sections: DataFrame, keys: list[str], order: list[str], body: str, s
     Places are found by cutting the body at its mentions, so no offsets are needed: the
     context is the end of what stands before and the beginning of what follows."""
     text = F.coalesce(F.col(body), F.lit(""))
-    cut = sections.select(*keys, *order, text.alias("body_"), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)).alias("ms"), F.split(text, MENTION).alias("gaps"))
-    each = cut.select(*keys, *order, "body_", "ms", "gaps", F.posexplode("ms").alias("i", "m"))
-    weave = F.zip_with(F.col("gaps"), F.col("ms"), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    before = F.concat(F.array_join(F.slice(weave, F.lit(1), F.col("i")), ""), F.get("gaps", F.col("i")))
+    cut = sections.select(*keys, *order, text.alias("body_"), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)).alias("ms_"), F.split(text, MENTION).alias("gaps_"))
+    each = cut.select(*keys, *order, "body_", "ms_", "gaps_", F.posexplode("ms_").alias("i_", "m_"))
+    weave = F.zip_with(F.col("gaps_"), F.col("ms_"), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
+    before = F.concat(F.array_join(F.slice(weave, F.lit(1), F.col("i_")), ""), F.get("gaps_", F.col("i_")))
     at = F.length(before)
-    window = F.substring("body_", F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)) + F.length("m") + CONTEXT_CHARS)
+    window = F.substring("body_", F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)) + F.length("m_") + CONTEXT_CHARS)
     found = each.withColumn("contexto", F.translate(window, "\n", " "))
     if species is not None:
         found = found.where(species.isNull() | F.contains(F.lower("contexto"), F.lower(species)) | F.contains(F.lower("body_"), F.lower(species)))
     part = r"(?iu)^(\d+[.,]?\d*)\s*(mg|mcg|µg|ml)"
-    found = found.withColumn("valor", F.regexp_extract("m", part, 1)).withColumn("unidade", F.replace(F.lower(F.regexp_extract("m", part, 2)), F.lit("µg"), F.lit("mcg")))
-    found = found.withColumn("display", display(F.col("valor"), F.col("unidade"))).withColumn("at_", F.struct(*order, "i"))
-    first = found.groupBy(*keys, "display").agg(F.min_by(F.struct("valor", "unidade", "contexto"), "at_").alias("d"), F.min("at_").alias("at_"))
+    found = found.withColumn("valor", F.regexp_extract("m_", part, 1)).withColumn("unidade", F.replace(F.lower(F.regexp_extract("m_", part, 2)), F.lit("µg"), F.lit("mcg")))
+    found = found.withColumn("display", display(F.col("valor"), F.col("unidade"))).withColumn("at_", F.struct(*order, "i_"))
+    first = found.groupBy(*keys, "display").agg(F.min_by(F.struct("valor", "unidade", "contexto"), "at_").alias("found_"), F.min("at_").alias("at_"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("at_"))
-    return first.select(*keys, nth.alias("ord"), "d.valor", "d.unidade", "d.contexto", "display")
+    return first.select(*keys, nth.alias("ord"), "found_.valor", "found_.unidade", "found_.contexto", "display")

@@ -292,8 +292,11 @@ def explode_packed(df: DataFrame, keys: list[str], fields: dict[str, str]) -> Da
     """One row (keys…, fld, pos, val) per value of the named string or array<string> fields.
 
     `fields` maps a column to `list` or `labelled`. Other columns of df are pruned, so
-    they may have any name, `fld`, `pos` and `val` included. No shuffle: a map over Arrow batches.
+    they may have any name, `fld`, `pos` and `val` included; a key of such a name is refused.
+    No shuffle: a map over Arrow batches.
     """
+    if {"fld", "pos", "val"} & set(keys):
+        raise ValueError("a key can't be named fld, pos or val: those are columns of the result")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark_schema = T.StructType(
