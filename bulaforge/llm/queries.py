@@ -177,4 +177,25 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_share_by_source": p10_share_by_source,
 }
-SQL: dict[str, str] = {}
+_TEXTS = """t AS (SELECT 'chunks' AS tbl, chunk_id AS k, any_value(text) AS x FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id
+UNION ALL SELECT 'sections', section_id, any_value(body) FROM sections WHERE body IS NOT NULL GROUP BY section_id)"""
+_FITS = "list_bool_and(list_transform(string_split_regex(x, '{0}'), lambda p: length(regexp_replace(p, '^[\\s\\x0b\\x{{00a0}}]+|[\\s\\x0b\\x{{00a0}}]+$', '', 'g')) <= 2000))"
+_BR = r"(\r\n|\n|\r)"
+_WHITE = r"[\s\x0b\x{00a0}]"
+
+#: Plain restatements that DuckDB can run at a small scale.
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_TEXTS}, w AS (SELECT tbl, k, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS ws FROM t),
+g AS (SELECT tbl, k, list_distinct(list_transform(range(1, len(ws)-1), lambda i: ws[i]||' '||ws[i+1]||' '||ws[i+2])) AS gs FROM w WHERE len(ws) >= 20),
+u AS (SELECT tbl, k, len(gs) AS n, unnest(gs) AS g FROM g),
+p AS (SELECT a.tbl, a.k AS key_a, b.k AS key_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.tbl=b.tbl AND a.g=b.g AND a.k < b.k GROUP BY 1,2,3)
+SELECT tbl, key_a, key_b FROM p WHERE c/(na+nb-c) >= 0.7""",
+    "p4_found": f"""WITH {_TEXTS} SELECT tbl, k AS item_key, CASE WHEN {_FITS.format(_BR + '[ \\t\\f\\x0b\\x{00a0}]*' + _BR)} THEN 'paragraph' WHEN {_FITS.format(_BR)} THEN 'line'
+WHEN list_bool_and(list_transform(string_split_regex(regexp_replace(x, '([.!?]){_WHITE}+', '\\1'||chr(10), 'g'), '{_BR}'), lambda p: length(regexp_replace(p, '^{_WHITE}+|{_WHITE}+$', '', 'g')) <= 2000)) THEN 'sentence'
+WHEN {_FITS.format(_WHITE + '+')} THEN 'word' ELSE 'char' END AS boundary FROM t WHERE length(x) > 2000""",
+    "p10_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+s AS (SELECT doc_id, i, hash(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text)-198)) AS i FROM d)),
+m AS (SELECT h FROM s GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s SEMI JOIN m USING (h))
+SELECT doc_id, sum(CASE WHEN b IS NULL THEN 200 ELSE least(200, i-b) END)::BIGINT AS shared_chars FROM c GROUP BY 1""",
+}
