@@ -5,7 +5,7 @@ per hash bucket; the shuffle moves those rows; a map per bucket compares them. P
 hash this costs its stored bytes plus about one byte of position, instead of a row.
 
 A hash that several owners of one slice share is settled in that slice: its places go
-out as hits at once and only one of them goes on to the bucket, so a hash held by a
+out as hits at once and only two of them go on to the bucket, so a hash held by a
 third of all items reaches its bucket once per slice. The bucket keeps one entry per
 distinct hash; their number is bounded by the number of buckets, which follows the input.
 """
@@ -33,10 +33,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Plans over rows that aren't files report this size or more.
+UNKNOWN_BYTES = 1 << 60
+
+
 def source_bytes(df: DataFrame) -> int:
-    """Bytes of the files under df, from the plan's leaves; no job."""
+    """Bytes of the files under df, from the plan's leaves without a job; where they aren't files, a third of the bytes of its texts."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max(1, sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= UNKNOWN_BYTES:
+        texts = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        size = (df.select(F.sum(sum(texts, F.lit(0)))).first()[0] or 0) // 3
+    return max(1, size)
 
 
 def bucket_count(df: DataFrame, bytes_per_bucket: int) -> int:
@@ -66,8 +74,8 @@ def unpack_places(b: bytes) -> np.ndarray:
 
 
 def _pack(owner: np.ndarray, h: np.ndarray, pos: np.ndarray, wide: bool) -> bytes:
-    """owner is grouped; pos ascends within an owner."""
-    first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
+    """A new group begins where the owner changes or the position falls back (a repeated row)."""
+    first = np.nonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pos[1:] < pos[:-1])]))[0]
     counts = np.diff(np.append(first, len(owner)))
     step = np.diff(pos.astype(np.int64), prepend=0)
     step[first] = pos[first]
@@ -118,11 +126,15 @@ def encode_slice(owner: np.ndarray, h: np.ndarray, pos: np.ndarray, buckets: int
         order, begin, multi = _shared(h, owner)
         lens = np.diff(np.append(begin, len(h)))
         member = np.repeat(multi, lens)
-        first = np.zeros(len(h), bool)
-        first[begin] = True
+        # Two entries of different owners stand for a shared hash, so that later ones of either owner see it as shared.
+        sent = np.zeros(len(h), bool)
+        sent[begin] = True
+        other = owner[order] != np.repeat(owner[order[begin]], lens)
+        second = np.minimum.reduceat(np.where(other, np.arange(len(h)), len(h)), begin)
+        sent[second[second < len(h)]] = True
         hit = order[member]
         rows += [(-1 - int(o % buckets), o, p) for o, p in _hit_rows(owner[hit], pos[hit])]
-        keep = np.sort(order[~member | first])
+        keep = np.sort(order[~member | sent])
         owner, h, pos = owner[keep], h[keep], pos[keep]
         where = (h >> np.uint64(40)) % np.uint64(buckets)
         by = np.argsort(where, kind="stable")

@@ -178,7 +178,7 @@ def shared_chars(df: DataFrame, key: str, text: str, min_chars: int = 200) -> Da
     marked = cut(B.join_places(anchors).join(groups, "owner").select(F.col("rep").alias("id"), "owner", "places"))
     bitmap, bits = B.key_filter(marked, "owner", marked.count())
     possible = B.keep_possible(docs.select("id", "owner", "text"), "owner", bitmap, bits)
-    todo = possible.join(marked, ["id", "owner"]).select("owner", "text", "places")
+    todo = possible.dropDuplicates(["id", "owner"]).join(marked, ["id", "owner"]).select("owner", "text", "places")
     windows = B.shared_places(todo, lambda it: _window_rows(it, min_chars, width, n), n, wide=True)
     covered = B.join_places(windows).mapInArrow(lambda it: _covered(it, min_chars), "owner bigint, covered bigint")
 
