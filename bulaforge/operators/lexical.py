@@ -20,17 +20,19 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 def scores(questions: DataFrame, docs: DataFrame, qid: str, question: str, key: str, text: str) -> DataFrame:
     """(qid, key, score) of every document with a term of the question. A repeated query term counts again.
 
-    The postings are cut down to the terms of the questions before any statistics are
-    joined, so the shuffle carries matching postings only; df is taken over all documents.
+    Only occurrences of the questions' terms are shuffled: the documents' tokens are
+    filtered by the terms before they are counted, and each carries its document's length.
+    The document frequency is still taken over all documents.
     """
-    counted, lengths = postings(docs, key, text)
+    tokenized = docs.select(key, tokens(F.col(text)).alias("ts"))
     asked = questions.select(qid, F.explode(tokens(F.col(question))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("qn"))
     wanted = asked.select("term").distinct()
-    hit = counted.join(wanted, "term", "left_semi")
+    seen = tokenized.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+    hit = seen.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    whole = tokenized.select(F.size("ts").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(whole)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    pairs = hit.join(lengths, key).join(weighted, "term")
+    pairs = hit.join(weighted, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / F.greatest(F.col("avgdl"), F.lit(1.0)))
     return pairs.groupBy(qid, key).agg(F.sum(F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
 

@@ -10,6 +10,7 @@ from bulaforge.functions import entities as E
 from bulaforge.functions.text import cache_key
 from bulaforge.operators import chunking, doses, fusion, lexical, resolve, sections
 from bulaforge.operators.packed_fields import explode_packed
+from bulaforge.session import cut
 from bulaforge.sources.tables import once_per_key, table
 
 TOP_K, BUDGET, LISTINGS = 8, 30_000, 10
@@ -42,8 +43,9 @@ def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFram
     dose path answers from extracted doses. A model can replace it by a mapInPandas over `prompt`."""
     listings = once_per_key(table(spark, base, "listings", ["listing_id", "name", "link", "species", "substances", "ingested_at"]), "listing_id").withColumn("name", F.trim("name"))
     chunks = once_per_key(table(spark, base, "chunks", ["chunk_id", "chunk_ord", "product", "section_num", "section_title", "is_table", "text"]), "chunk_id").where("text IS NOT NULL")
-    asked = classified(questions)
-    found = resolved(asked, listings)
+    # Read by many branches below: written once, so that the extraction runs once.
+    asked = cut(classified(questions))
+    found = cut(resolved(asked, listings))
     best = found.where("rank = 1").select("qid", "listing_id", F.col("name").alias("found_name"), "link", "ambiguous")
     others = found.where("rank IN (2, 3)").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("others"))
     scoped = asked.select("qid", "asked", F.col("e.topic").alias("topic"), F.col("e.species").alias("species")).join(best, "qid")
@@ -53,7 +55,7 @@ def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFram
     scored = scoped_bm25(scoped.select("qid", "asked"), tier)
     top = lexical.top_k(scored, "qid", [F.col("chunk_ord")], TOP_K)
     texts = top.withColumn("body", chunking.rendered(F.col("section_num"), F.col("section_title"), F.col("is_table"), F.col("text")))
-    fit = fusion.within_budget(texts.select("qid", "rank", "score", "text", "body"), "qid", "rank", "body", BUDGET)
+    fit = cut(fusion.within_budget(texts.select("qid", "rank", "score", "text", "body"), "qid", "rank", "body", BUDGET))
     mentioned = doses.extract(fit, ["qid"], ["rank"], "text").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "display"))), lambda d: d.display).alias("doses"))
     context = fit.groupBy("qid").agg(F.count("*").alias("n_chunks"), F.min_by("text", "rank").alias("first"), F.max("score").alias("best_score"))
     rows = asked.join(best, "qid", "left").join(others, "qid", "left").join(context, "qid", "left").join(mentioned, "qid", "left")

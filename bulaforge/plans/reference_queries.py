@@ -315,8 +315,7 @@ def language_confusion(s: SparkSession, b: str) -> DataFrame:
 @query(f"WITH src AS (SELECT DISTINCT answer_id, response AS text FROM answers), {_lang_sql('text')} SELECT answer_id, label IN ('portugues','indefinido') AS accepted, CASE label WHEN 'portugues' THEN 'ok' WHEN 'indefinido' THEN 'indefinido (texto curto)' ELSE 'detectado='||label END AS reason FROM lab")
 def language_guard(s: SparkSession, b: str) -> DataFrame:
     """Whether each answer passes the policy of one language, and why not."""
-    ok, reason = language.guard(F.col("response"))
-    return _answers(s, b).select("answer_id", ok.alias("accepted"), reason.alias("reason"))
+    return _answers(s, b).select("answer_id", language.judge(F.col("response")).alias("g")).select("answer_id", "g.accepted", "g.reason")
 
 
 # ---- entities and intent --------------------------------------------------------------
