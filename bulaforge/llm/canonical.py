@@ -97,8 +97,8 @@ def dictionary(values: DataFrame, references: DataFrame) -> DataFrame:
 def map_values(rows: DataFrame, references: DataFrame) -> DataFrame:
     """rows(kind, val, …) with a column canonical added: the entry meant, or UNMATCHED. Blank values are dropped.
 
-    Columns of rows other than kind and val are kept; a column named `canonical`, `v` or `kind_v` is replaced."""
-    full = rows.where(F.col("val").isNotNull() & F.col("val").rlike(r"[^\s\u00a0]")).withColumn("v", folded(F.col("val")))
+    Columns of rows other than kind and val are kept; a column named `canonical` or `v` is replaced."""
+    full = rows.drop("canonical").where(F.col("val").isNotNull() & F.col("val").rlike(r"[^\s\u00a0]")).withColumn("v", folded(F.col("val")))
     known = cut_lineage(dictionary(full.select("kind", "v"), references))
     matched = full.join(known, ["kind", "v"])
     missed = full.join(known, ["kind", "v"], "left_anti").withColumn("canonical", F.lit(UNMATCHED))

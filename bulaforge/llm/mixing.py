@@ -10,7 +10,7 @@ around it as often as tokens are repeated, and a document is used for the stretc
 which it begins. So every share is met to within one document per stretch.
 
 Defined results: documents with null or blank text, or of a source without target, are
-not used; a source without documents keeps the whole mixture at zero tokens; repeated
+not used; a source without documents keeps the whole mixture at zero tokens; without targets there is no sample; repeated
 rows count once; ties in the seeded order go by id.
 """
 
@@ -122,7 +122,9 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: list[Target]
     if len(targets) > MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES} sources")
     spark = docs.sparkSession
-    bits = F.create_map(*[x for k, t in enumerate(targets) for x in (F.lit(t.source), F.lit(1 << k))]) if targets else None
+    if not targets:
+        return spark.createDataFrame([], f"doc_id {docs.schema[key].dataType.simpleString()}, source string, n_tokens bigint, uses int")
+    bits = F.create_map(*[x for k, t in enumerate(targets) for x in (F.lit(t.source), F.lit(1 << k))])
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("src"), F.col(f"`{text}`").alias("body"))
     rows = rows.where(F.col("src").isin([t.source for t in targets]) & F.col("body").rlike(r"[^\s\u00a0]"))
     rows = rows.select("id", F.try_element_at(bits, F.col("src")).cast("bigint").alias("bit"), F.xxhash64("body").alias("th"), "body")

@@ -15,7 +15,7 @@ def test_spellings(spark):
         ("form", "solucao  injetavle", "solução injetável"), ("form", "caixa", "UNMATCHED"), ("form", "???", "UNMATCHED"), ("s", "Cães (adultos)", "cães"), ("s", "cachorors, de guarda", "cães"), ("s", "gatoss", "gatos"),
         ("s", "pombos correio", "pombos"), ("s", "elefantes", "UNMATCHED"), ("s", "gatos", "gatos"), ("s", "x" * 5000, "UNMATCHED"), ("s", "comprimidos", "UNMATCHED"),
     ]
-    df = spark.createDataFrame([(i, k, v, "extra") for i, (k, v, _) in enumerate(cases)] + [(90, "s", None, "e"), (91, "s", "  ", "e"), (92, "form", "", "e"), (0, "form", "COMPRIMIDOS", "extra")], "i int, kind string, val string, name string")
+    df = spark.createDataFrame([(i, k, v, "extra") for i, (k, v, _) in enumerate(cases)] + [(90, "s", None, "e"), (91, "s", "  ", "e"), (92, "form", "", "e"), (0, "form", "COMPRIMIDOS", "extra")], "i int, kind string, val string, canonical string")
     got = sorted((r["i"], r["canonical"]) for r in map_values(df, refs(spark)).collect())
     assert got == sorted([(i, c) for i, (_, _, c) in enumerate(cases)] + [(0, "comprimidos")])
 

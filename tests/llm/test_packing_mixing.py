@@ -72,3 +72,6 @@ def test_mix(spark):
     again = mix(df, "k", "body", "s", targets, Tokenizer.public()).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     assert mix(df.limit(0), "k", "body", "s", targets, Tokenizer.public()).count() == 0
+    assert mix(df, "k", "body", "s", [], Tokenizer.public()).count() == 0
+    lone = shares(mix(df, "k", "body", "s", [Target("a", 0.5, 1), Target("none", 0.5, 9)], Tokenizer.public()), [Target("a", 0.5, 1)]).first()
+    assert (lone["tokens"], lone["reached_share"]) == (0, 0.0)
