@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from bulaforge.functions.dimensions import SPECIFIC_UNITS, VAGUE
 from bulaforge.functions.text import strip_all
 
+# Thresholds, the message for nothing found, patterns of doses, fences and objects.
 LEAST_CONFIDENCE, RAW_CHARS, RAW_CONFIDENCE = 0.55, 2000, 0.2
 NOT_FOUND = "Informação não encontrada no documento."
 DOSE = r"(?iu)(\d+[.,]?\d*)\s*(mg|mcg|µg|ug|ml|g)\s*/\s*(kg|quilograma)"

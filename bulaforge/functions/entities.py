@@ -39,6 +39,7 @@ def form(text: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(f)), F.lit(f.capitalize())) for f in D.FORMS])
 
 
+# Patterns of question tails, product names and strengths whose matches must agree with the published behaviour.
 _TAIL = r"(?iU)\s+(?:em|para|de|do|da|com|a|o)\s+\w+.*$"
 _ENDS = r"^[ ?.,;:]+|[ ?.,;:]+$"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bulaforge.functions.dimensions import LANGUAGE_WORDS, PORTUGUESE_HINTS
 from bulaforge.functions.text import fold
 
+# Shares that decide, and the scripts that are told apart from Latin.
 FOREIGN_SHARE, PORTUGUESE_SHARE, SHORT_WORDS = 0.12, 0.05, 4
 _OTHER_SCRIPT = r"[Ѐ-ӿ؀-ۿऀ-ॿ一-鿿぀-ゟ゠-ヿ가-힯]"
 

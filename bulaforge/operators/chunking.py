@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bulaforge.functions.text import strip_all
 
+# Sizes of paragraphs, packs and overlap, and patterns of section headers.
 LONG_PARAGRAPH, SENTENCE_PACK = 2000, 1500
 TARGET, OVERLAP, TINY = 1400, 320, 160
 #: The marks around a table in page text.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Width of the context, pattern of a dose per weight.
 CONTEXT_CHARS = 80
 MENTION = r"(?iu)\d+[.,]?\d*\s*(?:mg|mcg|µg|ml)\s*/\s*kg"
 

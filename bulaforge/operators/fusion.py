@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rank constant, least rest worth cutting a text for.
 RRF_K = 60
 LEAST_REST = 200
 

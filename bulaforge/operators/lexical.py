@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bulaforge.functions.text import tokens
 
+# Fixed values of the score.
 K1, B = 1.5, 0.75
 
 

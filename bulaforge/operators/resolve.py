@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Weights of the score and the gap below which a choice is ambiguous.
 WEIGHTS = {"name": 0.55, "tokens": 0.25, "species": 0.10, "substance": 0.10}
 AMBIGUOUS_GAP = 0.10
 
