@@ -39,7 +39,7 @@ from bulaforge.session import cut
 
 SKETCH_BITS = 18
 SKETCH_PARTS = 16
-BYTES_PER_BUCKET = 12 << 20
+BYTES_PER_BUCKET = 8 << 20
 BATCH_CHARS = 1_000_000
 
 
