@@ -24,6 +24,7 @@ gives empty output.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,8 +51,8 @@ class Similarity:
     run: int = 5
     threshold: float = 0.8
     min_words: int = 5
-    #: Copies of one run set are expanded into all their pairs up to this class size; larger
-    #: classes come out as their least key paired with every other one.
+    #: Exact copies of one text are expanded into all their pairs up to this number; more copies
+    #: come out as their least key paired with every other one. Different texts always are expanded.
     expand_copies_up_to: int = 50
 
 
@@ -176,7 +177,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Simila
             with np.errstate(over="ignore"):
                 owner = B.mix64(np.add.reduceat(B.mix64(run + np.uint64(1)), first) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 owner = B.mix64(owner + tables[rows].astype(np.uint64)).view(np.int64)
-            out = [(-1 - int(o % buckets), int(o), f"{int(tables[r])}:{keys[r]}".encode()) for o, r in zip(owner, rows)]
+            out = [(-1 - int(o % buckets), int(o), _text_hash(texts[r]) + f"{int(tables[r])}:{keys[r]}".encode()) for o, r in zip(owner, rows)]
             # Equal run sets send their keys once.
             chosen = np.zeros(len(rows), bool)
             chosen[np.unique(owner, return_index=True)[1]] = True
@@ -204,6 +205,10 @@ def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Simila
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
+def _text_hash(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
 def _pack_keys(owner: np.ndarray, size: np.ndarray, key: np.ndarray, pos: np.ndarray) -> bytes:
     first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
     counts = np.diff(np.append(first, len(owner)))
@@ -285,27 +290,29 @@ def _counted_pairs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...
     return a[begin], b[begin], np.diff(np.append(begin, len(a))).astype(np.int32), need[begin]
 
 
-STAGE = "a bigint, b bigint, met int, needed smallint, tbl int, key string"
-_STAGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32()), ("needed", pa.int16()), ("tbl", pa.int32()), ("key", pa.string())])
+STAGE = "a bigint, b bigint, met int, needed smallint, tbl int, key string, txt bigint"
+_STAGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32()), ("needed", pa.int16()), ("tbl", pa.int32()), ("key", pa.string()), ("txt", pa.int64())])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Bucket rows in order of bucket → candidate pairs (a, b) and, passed through, records (a = class, tbl, key)."""
+    """Bucket rows in order of bucket → candidate pairs (a, b) and, passed through, records (a = class, tbl, key, txt = hash of the text)."""
 
     def pairs(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         if parts:
             for found in _candidates(parts, threshold):
                 n = len(found[0])
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in found], pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_STAGE_SCHEMA)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in found], pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_STAGE_SCHEMA)
 
     current, parts = None, []
     for batch in batches:
         bucket = batch.column(0).to_numpy()
         passing = batch.filter(pa.array(bucket < 0))
         if passing.num_rows:
-            said = [p.split(b":", 1) for p in passing.column(2).to_pylist()]
+            payloads = passing.column(2).to_pylist()
+            said = [p[8:].split(b":", 1) for p in payloads]
+            txt = pa.array([int.from_bytes(p[:8], "little", signed=True) for p in payloads], pa.int64())
             empty = [pa.nulls(len(said), t) for t in (pa.int64(), pa.int32(), pa.int16())]
-            cols = [passing.column(1), *empty, pa.array([int(s[0]) for s in said], pa.int32()), pa.array([s[1].decode() for s in said], pa.string())]
+            cols = [passing.column(1), *empty, pa.array([int(s[0]) for s in said], pa.int32()), pa.array([s[1].decode() for s in said], pa.string()), txt]
             yield pa.RecordBatch.from_arrays(cols, schema=_STAGE_SCHEMA)
         for k, payload in zip(bucket, batch.column(2)):
             if k < 0:
@@ -358,7 +365,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """records (cls, tbl, key): every record with its class of equal run sets;
+    """records (cls, tbl, key, txt): every record with its class of equal run sets and the hash of its text;
     links (a, b): the similar classes, a < b."""
 
     records: DataFrame
@@ -373,7 +380,7 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     levels = spark.sparkContext.broadcast(rarity_levels(texts, how))
     packed = texts.mapInArrow(lambda it: _key_rows(it, levels.value, how, n), "bucket int, owner bigint, payload binary")
     stage = cut(packed.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(lambda it: _meet(it, how.threshold), STAGE))
-    classes = stage.where("b is null").select(F.col("a").alias("cls"), "tbl", "key").distinct()
+    classes = stage.where("b is null").groupBy(F.col("a").alias("cls"), "tbl", "key").agg(F.min("txt").alias("txt"))
     # Pairs that meet in fewer keys than similar sets must are chance meetings.
     met = stage.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("needed").alias("needed"))
     pairs = cut(met.where("met >= needed").select("a", "b"))
@@ -389,29 +396,39 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     return NearDuplicates(classes, links)
 
 
+def _copies(found: NearDuplicates, how: Similarity) -> DataFrame:
+    """(cls, tbl, key, rep, many): every record with the least key of its text, and if the text has more than
+    `expand_copies_up_to` copies."""
+    texts = found.records.groupBy("cls", "tbl", "txt").agg(F.min("key").alias("rep"), (F.count("*") > how.expand_copies_up_to).alias("many"))
+    return found.records.join(texts, ["cls", "tbl", "txt"]).select("cls", "tbl", "key", "rep", "many")
+
+
 def key_pairs(found: NearDuplicates, how: Similarity) -> DataFrame:
     """(tbl, key_a, key_b) with key_a < key_b: the pairs of similar records.
 
-    Classes of more than `expand_copies_up_to` equal records appear as their least key
-    with each other member; for their links to other texts the least key stands.
+    A class holds texts of equal run sets, which may differ in case, marks or white space. Of more
+    than `expand_copies_up_to` records of exactly equal text the least key stands for all in the
+    pairs with other texts, and is paired with each of them; `unexpanded_copies` names them.
     """
-    sized = found.records.groupBy("cls", "tbl").agg(F.count("*").alias("size"), F.min("key").alias("rep"))
-    copies = sized.where("size > 1")
-    small, large = copies.where(F.col("size") <= how.expand_copies_up_to), copies.where(F.col("size") > how.expand_copies_up_to)
-    members = found.records.select("cls", "key")
-    listed = members.join(small, "cls").groupBy("cls", "tbl").agg(F.sort_array(F.collect_list("key")).alias("ks"))
+    records = cut(_copies(found, how))
+    shown = records.where(~F.col("many") | (F.col("key") == F.col("rep"))).select("cls", "tbl", "key")
+    listed = shown.groupBy("cls", "tbl").agg(F.sort_array(F.collect_list("key")).alias("ks")).where(F.size("ks") > 1)
     first = listed.select("tbl", "ks", F.posexplode("ks").alias("i", "key_a"))
     within = first.select("tbl", "key_a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("key_b"))
-    star = members.join(large, "cls").where(F.col("key") != F.col("rep")).select("tbl", F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
+    star = records.where(F.col("many") & (F.col("key") != F.col("rep"))).select("tbl", F.col("rep").alias("key_a"), F.col("key").alias("key_b"))
     links = cut(found.links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    shown = members.join(sized.join(ends, "cls", "left_semi"), "cls").where((F.col("size") <= how.expand_copies_up_to) | (F.col("key") == F.col("rep")))
     a = shown.select(F.col("cls").alias("a"), "tbl", F.col("key").alias("ka"))
     b = shown.select(F.col("cls").alias("b"), F.col("key").alias("kb"))
     across = links.join(a, "a").join(b, "b").select("tbl", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
     return across.unionByName(within).unionByName(star)
 
 
+def unexpanded_copies(found: NearDuplicates, how: Similarity) -> DataFrame:
+    """(tbl, key, rep): the records for which `key_pairs` shows the least key of their equal texts. Each stands in
+    every pair of rep, and in a pair with every record of the same rep."""
+    return _copies(found, how).where(F.col("many") & (F.col("key") != F.col("rep"))).select("tbl", "key", "rep")
+
+
 def components(found: NearDuplicates) -> DataFrame:
     """(tbl, key, cls, component, links): each record with its class, its connected group and the
     number of classes its own is linked to. Groups are found by alternating large-star and

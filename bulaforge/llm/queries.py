@@ -9,7 +9,7 @@ from bulaforge.llm.answer_defects import defect_labels, main_defect
 from bulaforge.llm.canonical import map_values
 from bulaforge.llm.main_body import main_body
 from bulaforge.llm.mixing import Target, mix, shares
-from bulaforge.llm.near_dup import NearDuplicates, Similarity, components, key_pairs, near_duplicates
+from bulaforge.llm.near_dup import NearDuplicates, Similarity, components, key_pairs, near_duplicates, unexpanded_copies
 from bulaforge.llm.packing import pack
 from bulaforge.llm.shared_spans import shared_chars
 from bulaforge.llm.split_long import SplitRule, boundary_levels, split_oversized
@@ -43,6 +43,11 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return key_pairs(_near(spark, base), NEAR).select(_table_name(), "key_a", "key_b")
 
 
+def p2_copies(spark: SparkSession, base: str) -> DataFrame:
+    """The exact copies that p2_found leaves to the least key of their text."""
+    return unexpanded_copies(_near(spark, base), NEAR).select(_table_name(), "key", "rep")
+
+
 def p2_groups(spark: SparkSession, base: str) -> DataFrame:
     """Each record with its class of equal texts, its group and the number of classes linked to its own."""
     return components(_near(spark, base)).select(_table_name(), "key", "cls", "component", "links")
@@ -163,6 +168,7 @@ def p10_share_by_source(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_copies": p2_copies,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_labels": p3_labels,

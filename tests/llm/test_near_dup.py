@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bulaforge.llm.near_dup import Similarity, components, key_pairs, key_plan, near_duplicates
+from bulaforge.llm.near_dup import Similarity, components, key_pairs, key_plan, near_duplicates, unexpanded_copies
 
 
 def sets(rows, how):
@@ -65,6 +65,25 @@ def test_large_classes_of_copies_come_as_stars(spark):
     assert pairs == {("k0", f"k{i}") for i in range(1, 6)} | {("k0", "z")}
 
 
+def test_different_texts_of_a_large_class_are_expanded(spark):
+    how = Similarity(run=3, threshold=0.7, min_words=5, expand_copies_up_to=3)
+    words = "um dois três quatro cinco seis sete oito nove dez onze doze".split()
+    rows = [(0, f"v{i}", " ".join(words[:i]) + ", " + " ".join(words[i:])) for i in range(1, 8)]
+    rows += [(0, f"k{i}", " ".join(words)) for i in range(5)]
+    rows += [(0, "z", " ".join([*words[:-1], "treze"])), rows[0]]
+    found = near_duplicates(spark.createDataFrame(rows, "tbl int, key string, text string"), how)
+    pairs = [(r["tbl"], r["key_a"], r["key_b"]) for r in key_pairs(found, how).collect()]
+    copies = {r["key"]: r["rep"] for r in unexpanded_copies(found, how).collect()}
+    assert copies == {f"k{i}": "k0" for i in range(1, 5)} and len(pairs) == len(set(pairs))
+    want = brute(set(rows), how)
+    assert set(pairs) == {p for p in want if not {p[1], p[2]} & set(copies) or p[1] == copies.get(p[2])}
+    # With the copies every pair can be restored.
+    of = {k: [k, *(c for c, r in copies.items() if r == k)] for _, k, _ in rows}
+    restored = {(0, *sorted((x, y))) for _, a, b in pairs for x in of[a] for y in of[b] if x != y}
+    restored |= {(0, *sorted((x, y))) for x in of["k0"] for y in of["k0"] if x != y}
+    assert restored == want
+
+
 def test_components(spark):
     how = Similarity(run=2, threshold=0.5, min_words=2)
     base = [f"w{i}" for i in range(12)]
