@@ -32,7 +32,10 @@ DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 #: Cutoffs at which the held-out test cases come out without a false label.
 CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.5}
 LEXICON_WORDS = 200_000
-LEXICON_MIN = 20
+#: Least share of all words at which a word's uses say how it is used; shares don't change with the size of the table.
+LEXICON_SHARE = 25e-6
+#: A fragment has at most the first share of the uses of the words it begins, or the second if half of its uses or more are the bare end of an answer.
+RARE, RARE_AT_END = 0.01, 0.05
 
 # Function words of the languages told apart.
 FUNCTION_WORDS = {
@@ -100,42 +103,61 @@ def _tail_words(text: str) -> list[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, total, ends, articles): uses of a word, at the end of a clause, before an article. A number is counted with the word before it."""
+    """(w, total, ends, articles, bare): uses of a word, at the end of a clause, before an article, as the bare end of an answer. A number is counted with the word before it."""
     for batch in batches:
         total: Counter[str] = Counter()
         ends: Counter[str] = Counter()
         articles: Counter[str] = Counter()
-        for text in batch.column(0).to_pylist():
-            for clause in re.split(r"([.!?;:,\n]+(?=\s|$))", text)[::2]:
+        bare: Counter[str] = Counter()
+        for text in map(_plain, batch.column(0).to_pylist()):
+            clauses = re.split(r"([.!?;:,\n]+(?=\s|$))", text)[::2]
+            for c, clause in enumerate(clauses):
                 words = _tail_words(clause)
                 if len(words) < 3:
                     continue
+                if c == len(clauses) - 1 and text[-1].isalnum():
+                    bare[words[-1]] += 1
                 for k, w in enumerate(words):
                     w = f"{words[k - 1]} #" if w == "#" and k else w
                     total[w] += 1
                     ends[w] += k == len(words) - 1
                     articles[w] += k + 1 < len(words) and words[k + 1] in ARTICLES
         keys = list(total)
-        yield pa.RecordBatch.from_pydict({"w": keys, "total": [total[k] for k in keys], "ends": [ends[k] for k in keys], "articles": [articles[k] for k in keys]}, schema=_LEXICON)
+        yield pa.RecordBatch.from_pydict({"w": keys, "total": [total[k] for k in keys], "ends": [ends[k] for k in keys], "articles": [articles[k] for k in keys], "bare": [bare[k] for k in keys]}, schema=_LEXICON)
 
 
-_LEXICON = pa.schema([("w", pa.string()), ("total", pa.int64()), ("ends", pa.int64()), ("articles", pa.int64())])
+_LEXICON = pa.schema([("w", pa.string()), ("total", pa.int64()), ("ends", pa.int64()), ("articles", pa.int64()), ("bare", pa.int64())])
 
 
 class Lexicon:
-    def __init__(self, rows: list[tuple[str, int, int, int]]):
-        self.words = {w: (t, e / t, a / t) for w, t, e, a in rows}
-        self.beginnings = {w[:k] for w, (t, _, _) in self.words.items() if t >= LEXICON_MIN and " " not in w for k in range(1, len(w))}
+    """Only ratios of counts decide, so a table and its multiple give the same answers."""
+
+    def __init__(self, rows: list[tuple[str, int, int, int, int]]):
+        self.words = {w: (t, e / t, a / t, b / t) for w, t, e, a, b in rows}
+        self.least = LEXICON_SHARE * sum(t for t, *_ in self.words.values())
+        self.longer: Counter[str] = Counter()
+        for w, (t, *_) in self.words.items():
+            if t >= self.least and " " not in w:
+                for k in range(1, len(w)):
+                    self.longer[w[:k]] += t
 
     def is_verb(self, w: str) -> bool:
-        t, e, a = self.words.get(w, (0, 1.0, 0.0))
-        return t >= LEXICON_MIN and a >= 0.6 and e < 0.03 and w not in _ALL_FUNCTION
+        t, e, a, _ = self.words.get(w, (0, 1.0, 0.0, 0.0))
+        return t > 0 and t >= self.least and a >= 0.6 and e < 0.03 and w not in _ALL_FUNCTION
+
+    def never_ends(self, w: str) -> bool:
+        t, e, _, _ = self.words.get(w, (0, 1.0, 0.0, 0.0))
+        return t > 0 and t >= self.least and e < 0.01
+
+    def is_fragment(self, w: str) -> bool:
+        t, _, _, b = self.words.get(w, (0, 0.0, 0.0, 0.0))
+        return w in self.longer and t <= (RARE_AT_END if b >= 0.5 else RARE) * self.longer[w]
 
 
 def count_lexicon(texts: DataFrame) -> Lexicon:
     """texts has one string column. The LEXICON_WORDS most frequent words of all answers."""
-    counted = texts.mapInArrow(_count_words, "w string, total bigint, ends bigint, articles bigint").groupBy("w").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"), F.sum("articles").alias("articles"))
-    rows = counted.where(F.col("total") >= 3).orderBy(F.desc("total"), "w").limit(LEXICON_WORDS).collect()
+    counted = texts.mapInArrow(_count_words, "w string, total bigint, ends bigint, articles bigint, bare bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("total", "ends", "articles", "bare")])
+    rows = counted.orderBy(F.desc("total"), "w").limit(LEXICON_WORDS).collect()
     return Lexicon([tuple(r) for r in rows])
 
 
@@ -200,11 +222,11 @@ def _truncation_votes(response: str, plain: str, lexicon: Lexicon) -> list[int]:
     quotes = text.count('"') % 2 == 1 or text.count("“") > text.count("”") or text.count("«") > text.count("»") or text.count("(") > text.count(")")
     last = words[-1]
     key = f"{words[-2]} #" if last == "#" else last
-    total, ends, _ = lexicon.words.get(key, (0, 0.0, 0.0))
+    ends = lexicon.words.get(key, (0, 0.0, 0.0, 0.0))[1]
     letters = text[-1].isalnum()
     functional = letters and last in _ALL_FUNCTION and ends < 0.2
-    never_ends = letters and total >= LEXICON_MIN and ends < 0.01
-    fragment = letters and last != "#" and total < LEXICON_MIN and last in lexicon.beginnings and not words[-1][0].isdigit()
+    never_ends = letters and lexicon.never_ends(key)
+    fragment = letters and last != "#" and lexicon.is_fragment(last)
     clause = _tail_words(re.split(r"[.!?;:\n]+\s|[;:\n]", text)[-1])
     verbs = [k for k, w in enumerate(clause) if lexicon.is_verb(w)]
     sentence = re.split(r"(?<=[.!?;])\s+|\n", text)[-1]

@@ -68,3 +68,20 @@ def test_votes_of_traps():
 def test_label_model_separates():
     p = label_model([((1, 1, 0), 50), ((-1, -1, 0), 900), ((1, -1, 0), 30), ((0, 0, 0), 20)])
     assert p[(1, 1, 0)] > 0.9 and p[(-1, -1, 0)] < 0.05
+
+
+def test_a_table_and_its_multiple_get_the_same_labels(spark):
+    rng = random.Random(8)
+    rows, cut = [], set()
+    for i in range(400):
+        text = f"A dose recomendada é de {i % 50 + 1} mg/kg por dia. " + " ".join(sentence(rng) for _ in range(4))
+        if i % 40 == 0:
+            text += f" O soro {rng.choice(VERBS)} o fra"
+            cut.add(i)
+        rows.append((i, "Qual é a dose para cães?", text, True))
+    schema = "id bigint, question string, response string, found boolean"
+    once = {(r["id"], r["defect"]) for r in defect_labels(spark.createDataFrame(rows, schema)).collect()}
+    tenfold = [(k * 1000 + i, *rest) for k in range(10) for i, *rest in rows]
+    often = {(r["id"], r["defect"]) for r in defect_labels(spark.createDataFrame(tenfold, schema)).collect()}
+    assert once == {(i, "truncated") for i in cut}
+    assert often == {(k * 1000 + i, d) for k in range(10) for i, d in once}
