@@ -11,7 +11,8 @@ frame, so three rounds go over all pages:
    recurring lines are counted inside and outside the span between surge and dive:
    headings and table labels lie inside, navigation, notices and footers outside.
 3. Each page is decided with the frame lines, link lines and frame elements as empty:
-   the product heading or the surge begins the body, and what is empty is left out.
+   the product heading or the surge begins the body, what is empty is left out, and
+   on marked-up pages the body ends at the dive (see `_dive`).
 
 Only line hashes are shuffled for the counts; the sets of lines are joined, not
 collected. Defined results: null, blank and error pages give no rows; plain text is
@@ -49,6 +50,7 @@ _HAS_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<!--|<!doctype",
 #: Elements that don't end a block, and elements that frame a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 FRAME = frozenset("nav aside footer header button select form dialog menu".split())
+LISTED = frozenset("li td th dt dd".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"(?<=\s)[A-ZÀ-ÝŒ][\w’'-]*")
@@ -204,7 +206,25 @@ def body(lines: list[Line], frame_lines: set[int], body_lines: set[int], common_
         if span([len(lines[i].text) for i in kept]) is None:
             return []
         first = kept[0]
-    return list(dict.fromkeys(x.text for i, x in enumerate(lines) if i >= first and not empty[i]))
+    kept = [i for i in range(first, len(lines)) if not empty[i]]
+    if any(x.tag for x in lines):
+        kept = kept[: _dive(lines, kept, body_lines)]
+    return list(dict.fromkeys(lines[i].text for i in kept))
+
+
+def _dive(lines: list[Line], kept: list[int], body_lines: set[int]) -> int:
+    """How many of the kept lines stand before the dive. Parts of a body are parted by boxes, and short cells or items
+    may end it: the dive comes only where the lines after a gap hold no surge, no list or table and no recurring body line."""
+    end = len(kept)
+    while end:
+        begin = end - 1
+        while begin and kept[begin - 1] == kept[begin] - 1:
+            begin -= 1
+        part = kept[begin:end]
+        if not begin or span([len(lines[i].text) for i in part]) or any(i in body_lines or lines[i].tag in LISTED for i in part):
+            break
+        end = begin
+    return end
 
 
 def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

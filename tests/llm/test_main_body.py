@@ -52,3 +52,18 @@ def test_span_and_keys():
     assert span([5, 0, 100, 90, 0, 80, 0, 0, 0, 3]) == (0, 5)
     assert line_key("Linha 800 de Zirovet 5") == line_key("Linha 12 de Outrovet 7")
     assert body([], set(), set(), set()) == []
+
+
+def test_short_text_after_the_dive_is_left_out(spark):
+    want, rows = {}, []
+    for i in range(2):
+        main = [f"Produto{i}", "Posologia", "a dose " * 20 + str(i), "b", "Conservar ao abrigo da luz e do calor, " * 3 + str(i)]
+        table = "".join(f"<tr><td>{WORDS[9 * i + k]}</td></tr>" for k in range(5))
+        box = '<ul><li><a href="/m">Outros produtos</a></li></ul>'
+        html = f"<h1>{main[0]}</h1><h2>{main[1]}</h2><p>{main[2].strip()}</p>{box}<p>{main[3]}</p><p>{main[4]}</p>{box}<table>{table}</table>"
+        rows.append((i, f"<html><body>{html}{box}<p>Sede: Rua {'xy'[i]}</p><p>Linha {'ab'[i]}</p></body></html>"))
+        want[i] = {*main, *WORDS[9 * i : 9 * i + 5]}
+    got = {}
+    for r in main_body(spark.createDataFrame(rows, "id int, page string"), "id", "page").collect():
+        got.setdefault(r["id"], set()).add(r["block"])
+    assert got == want
