@@ -50,6 +50,7 @@ _HAS_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<!--|<!doctype",
 #: Elements that don't end a block, and elements that frame a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 FRAME = frozenset("nav aside footer header button select form dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTED = frozenset("li td th dt dd".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _SPACE = re.compile(r"\s+")
@@ -161,9 +162,13 @@ def _statistics(lines: list[Line], recurring: set[int]) -> Iterator[tuple[str, i
     top = _first_heading(lines)
     own = span([0 if i in recurring or x.framed or x.links >= LINK_SHARE else len(x.text) for i, x in enumerate(lines)])
     boxes = _box_headings(lines)
-    level = lines[top].depth if top is not None else 0
+    # Without a heading of the product the headings right above the surge begin the inside.
+    begin = top if top is not None or own is None else own[0]
+    while top is None and begin and lines[begin - 1].tag in HEADINGS and not lines[begin - 1].framed and lines[begin - 1].links < LINK_SHARE:
+        begin -= 1
+    level = lines[begin].depth if begin is not None else 0
     for i, x in enumerate(lines):
-        inside = top is not None and own is not None and top <= i <= own[1] and not x.framed
+        inside = begin is not None and own is not None and begin <= i <= own[1] and not x.framed
         if x.links >= LINK_SHARE:
             # Links inside the body may repeat its headings: their lines say nothing of those.
             yield line_key(x.text), 0, 0 if inside and x.tag == "li" else 1

@@ -67,3 +67,16 @@ def test_short_text_after_the_dive_is_left_out(spark):
     for r in main_body(spark.createDataFrame(rows, "id int, page string"), "id", "page").collect():
         got.setdefault(r["id"], set()).add(r["block"])
     assert got == want
+
+
+def test_recurring_headings_of_pages_without_h1(spark):
+    rows, want = [], {}
+    for i in range(6):
+        main = [f"Produto{i}", "Posologia", ("dose " + WORDS[i] + " ") * 12 + "fim", "Conservar no frio", ("guardar " + WORDS[i] + " ") * 12 + "fim"]
+        inner = f"<h2>{main[0]}</h2><h3>{main[1]}</h3><p>{main[2]}</p><h3>{main[3]}</h3><p>{main[4]}</p>"
+        rows.append((i, f"<html><body><nav><a href='/'>Início</a></nav><div class='a'><div class='b'>{inner}</div></div><footer><p>{FRAME[0]}</p></footer></body></html>"))
+        want[i] = set(main)
+    got = {}
+    for r in main_body(spark.createDataFrame(rows, "id int, page string"), "id", "page").collect():
+        got.setdefault(r["id"], set()).add(r["block"])
+    assert got == want
