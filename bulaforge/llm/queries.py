@@ -54,10 +54,10 @@ def p2_groups(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _answer_pairs(spark: SparkSession, base: str) -> DataFrame:
-    answers = once_per_key(table(spark, base, "answers", ["answer_id", "qid", "response", "found", "ingested_at"]), "answer_id")
+    answers = once_per_key(table(spark, base, "answers", ["answer_id", "qid", "response", "found", "confidence", "ingested_at"]), "answer_id")
     questions = once_per_key(table(spark, base, "questions", ["qid", "text", "ingested_at"]), "qid")
     joined = answers.join(questions.select("qid", F.col("text").alias("question")), "qid", "left")
-    return joined.select(F.col("answer_id").alias("id"), "question", "response", "found")
+    return joined.select(F.col("answer_id").alias("id"), "question", "response", "found", "confidence")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
