@@ -243,7 +243,7 @@ FUNCTIONS: dict[str, list[tuple[str, float, float]]] = {
     "copy": [("same letters", 0.98, 0.002), ("same words", 0.98, 0.01), ("near words", 0.98, 0.01)],
     "refusal": [("declining words", 0.98, 0.002), ("lacks though found", 0.98, 0.002), ("opening", 0.9, 0.05), ("learned words", 0.95, 0.01), ("no facts", 0.98, 0.3), ("low confidence", 0.6, 0.3)],
     "language": [("function words", 0.98, 0.002), ("learned words", 0.98, 0.002), ("sentences", 0.98, 0.01)],
-    "truncated": [("dangling mark", 0.9, 0.005), ("open bracket", 0.9, 0.005), ("ellipsis", 0.9, 0.005), ("never ends", 0.9, 0.01), ("fragment", 0.9, 0.01), ("half a sentence", 0.7, 0.005)],
+    "truncated": [("dangling mark", 0.9, 0.005), ("open bracket", 0.9, 0.005), ("ellipsis", 0.9, 0.005), ("never ends", 0.9, 0.005), ("fragment", 0.9, 0.005), ("half a sentence", 0.7, 0.005)],
 }
 
 
