@@ -51,6 +51,24 @@ def bucket_count(df: DataFrame, bytes_per_bucket: int) -> int:
     return max(12, math.ceil(source_bytes(df) / bytes_per_bucket))
 
 
+#: Shuffle partitions at most; a partition takes several buckets one after the other beyond it.
+MAX_PARTITIONS = 50_000
+
+
+def place_buckets(packed: DataFrame, buckets: int) -> DataFrame:
+    """The rows of one bucket together and in order of their buckets."""
+    n = min(buckets, MAX_PARTITIONS)
+    return packed.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket")
+
+
+def groups_of(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of the buckets that occur; the places in ascending order."""
+    by = np.argsort(where, kind="stable")
+    found, begin = np.unique(where[by], return_index=True)
+    for k, mine in zip(found.tolist(), np.split(by, begin[1:]) if len(begin) else ()):
+        yield k, mine
+
+
 def _squeeze(a: np.ndarray) -> bytes:
     """Small integers as zstd: planes of equal significance lie together."""
     raw = a.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy().tobytes()
@@ -137,12 +155,8 @@ def encode_slice(owner: np.ndarray, h: np.ndarray, pos: np.ndarray, buckets: int
         keep = np.sort(order[~member | sent])
         owner, h, pos = owner[keep], h[keep], pos[keep]
         where = (h >> np.uint64(40)) % np.uint64(buckets)
-        by = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
-        for k in range(buckets):
-            pick = by[edges[k] : edges[k + 1]]
-            if len(pick):
-                rows.append((k, 0, _pack(owner[pick], h[pick] & np.uint64(0xFFFFFFFFFFFFFFFF if wide else 0xFFFFFFFF), pos[pick], wide)))
+        for k, pick in groups_of(where):
+            rows.append((k, 0, _pack(owner[pick], h[pick] & np.uint64(0xFFFFFFFFFFFFFFFF if wide else 0xFFFFFFFF), pos[pick], wide)))
     cols = list(zip(*rows)) or [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(cols, SHUFFLE_SCHEMA)], schema=SHUFFLE_SCHEMA)
 
@@ -214,8 +228,7 @@ def shared_places(df: DataFrame, encode: Callable[[Iterator[pa.RecordBatch]], It
     `encode` turns Arrow batches of df into rows of SHUFFLE_SCHEMA. An owner may have several rows.
     """
     packed = df.mapInArrow(encode, "bucket int, owner bigint, payload binary")
-    placed = packed.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket")
-    return placed.mapInArrow(lambda it: _decode(it, wide), "owner bigint, places binary")
+    return place_buckets(packed, buckets).mapInArrow(lambda it: _decode(it, wide), "owner bigint, places binary")
 
 
 def join_places(df: DataFrame) -> DataFrame:

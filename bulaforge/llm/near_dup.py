@@ -1,7 +1,7 @@
 """Near-duplicate records by the similarity of their word-run sets, without pairwise comparison.
 
-1. A sketch of fixed size counts the word runs of all records; its counts give one
-   global order, rare runs first.
+1. A sketch counts the word runs of all records; its counts give one global order, rare
+   runs first. Its size follows the square root of the input, up to 16 MB.
 2. Every record's runs are put in that order and cut to a prefix. The n-grams of the
    prefix (g neighbours in the order) are the join keys. Two sets of Jaccard similarity
    t or more differ in few runs, and each differing run parts at most g - 1 groups of
@@ -11,7 +11,9 @@
    growing with the square of the input. Small sets, for which three neighbours can't be
    guaranteed, also send keys of two or one.
 3. Keys meet in packed hash buckets. Length and positional filters drop candidates there.
-   A pair must also have met in as many keys as its sizes demand.
+   A pair must also have met in as many keys as its sizes demand. A key whose rarest run
+   has too many holders for one bucket has them split into blocks, and every pair of
+   blocks meets in a bucket of its own.
 4. Each distinct candidate is verified once: a suffix filter (difference of the counts
    in hash ranges) and then the exact overlap.
 
@@ -38,9 +40,12 @@ from bulaforge.llm import buckets as B
 from bulaforge.llm.shared_spans import tables_for
 from bulaforge.session import cut
 
-SKETCH_BITS = 18
+#: Cells of the rarity sketch as powers of two: the first up to 1 GB of input, then as its square root, the last at 4 TB (16 MB to each executor).
+SKETCH_BITS, MOST_SKETCH_BITS = 18, 24
 SKETCH_PARTS = 16
-BYTES_PER_BUCKET = 8 << 20
+BYTES_PER_BUCKET = 4 << 20
+#: Holders of a key that may meet in one bucket; or so many times the mean load of a sketch cell, below which counts tell nothing.
+HOT, HOT_LOADS = 8192, 4
 BATCH_CHARS = 1_000_000
 
 
@@ -108,34 +113,60 @@ def _run_sets_of(row: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[first], run[first]
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+def sketch_bits(size: int) -> int:
+    """Cells of the rarity sketch for an input of `size` bytes, as a power of two."""
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, SKETCH_BITS + round(math.log2(max(1.0, size / (1 << 30))) / 2)))
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch], how: Similarity, bits: int) -> Iterator[pa.RecordBatch]:
+    sketch = np.zeros(1 << bits, np.int64)
     for batch in batches:
         for tables, _, texts in _slices(batch):
-            _, run = _runs(tables, texts, how)
-            sketch += np.bincount((run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            # Copies in one slice count once: a key's holders are counted, not its copies.
+            once = list(dict.fromkeys(zip(tables.tolist(), texts)))
+            _, run = _runs(np.array([t for t, _ in once]), [x for _, x in once], how)
+            sketch += np.bincount((run & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     parts = np.split(sketch.astype("<u4"), SKETCH_PARTS)
     yield pa.RecordBatch.from_pydict({"part": pa.array(range(SKETCH_PARTS), pa.int32()), "counts": pa.array([B._squeeze(p) for p in parts], pa.binary())})
 
 
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+def _add_counts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             total[part] = total.get(part, np.zeros(size, np.uint64)) + B._expand(counts, size)
-    yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+    levels = [np.floor(LEVELS_PER_BIT * np.log2(v.astype(np.float64) + 1)).astype(np.uint8).tobytes() for v in total.values()]
+    yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "levels": pa.array(levels, pa.binary()), "n": pa.array([int(v.sum()) for v in total.values()], pa.int64())})
+
+
+LEVELS_PER_BIT = 4
+
+
+@dataclass(frozen=True)
+class Rarity:
+    """Logarithmic count level per sketch cell, over all records, and the holders beyond which a key is split."""
+
+    levels: np.ndarray
+    hot: int
 
+    def of(self, run: np.ndarray) -> np.ndarray:
+        return self.levels[(run & np.uint64(len(self.levels) - 1)).astype(np.int64)].astype(np.uint64)
 
-def rarity_levels(records: DataFrame, how: Similarity) -> np.ndarray:
-    """Logarithmic count level per sketch cell, over all records; 2**SKETCH_BITS bytes whatever the input."""
-    counted = records.mapInArrow(lambda it: _count_runs(it, how), "part int, counts binary")
-    summed = counted.repartition(SKETCH_PARTS, "part").mapInArrow(_add_counts, "part int, counts binary")
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
-    total = np.zeros(1 << SKETCH_BITS, np.float64)
+    def blocks(self, level: np.ndarray) -> np.ndarray:
+        """In how many blocks the holders of a key are split whose rarest run has that level."""
+        return np.maximum(1, np.ceil(2.0 ** (level.astype(np.float64) / LEVELS_PER_BIT) / self.hot)).astype(np.int64)
+
+
+def rarity_levels(records: DataFrame, how: Similarity, bits: int) -> Rarity:
+    """Counts of all records' runs in 2**bits cells; 2**bits bytes reach the driver, 16 MB at most."""
+    size = (1 << bits) // SKETCH_PARTS
+    counted = records.mapInArrow(lambda it: _count_runs(it, how, bits), "part int, counts binary")
+    summed = counted.repartition(SKETCH_PARTS, "part").mapInArrow(lambda it: _add_counts(it, size), "part int, levels binary, n bigint")
+    levels, total = np.zeros(1 << bits, np.uint8), 0
     for row in summed.collect():
-        total[row.part * size : (row.part + 1) * size] += np.frombuffer(row.counts, np.uint64)
-    return np.floor(4 * np.log2(total + 1)).astype(np.uint8)
+        levels[row.part * size : (row.part + 1) * size] = np.frombuffer(row.levels, np.uint8)
+        total += row.n
+    return Rarity(levels, max(HOT, HOT_LOADS * (total >> bits)))
 
 
 def key_plan(threshold: float) -> list[tuple[int, float, float]]:
@@ -158,7 +189,29 @@ HASH_BITS, LEVEL_BITS = 40, 8
 MAX_ROWS = 1 << 16
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Similarity, buckets: int) -> Iterator[pa.RecordBatch]:
+SIDE = 30
+
+
+def _split_hot(at: np.ndarray, key: np.ndarray, blocks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, key, side): every holder of a hot key lies in one block and goes to the pairs of its block with each, so that any two holders
+    meet once: in the pair of their blocks, on different sides of it (1, 2), or in their common block alone (0)."""
+    side = np.zeros(len(at), np.uint32)
+    hot = np.nonzero(blocks > 1)[0]
+    if not len(hot):
+        return at, key, side
+    times = blocks[hot]
+    entry = np.repeat(hot, times)
+    other = (np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        own = B.mix64(owner[entry].view(np.uint64) + np.uint64(0x2545F491)) % blocks[entry].astype(np.uint64)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        split = B.mix64(key[entry] + B.mix64((low << np.uint64(32)) + high + np.uint64(1)))
+    cold = np.nonzero(blocks <= 1)[0]
+    sides = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint32)
+    return np.concatenate([at[cold], at[entry]]), np.concatenate([key[cold], split]), np.concatenate([side[cold], sides])
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch], rarity: Rarity, how: Similarity, buckets: int) -> Iterator[pa.RecordBatch]:
     schema = B.SHUFFLE_SCHEMA
     low = np.uint64((1 << HASH_BITS) - 1)
     for batch in batches:
@@ -166,12 +219,13 @@ def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Simila
             row, run = _runs(tables, texts, how)
             if not len(row):
                 continue
-            level = levels[(run & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+            level = rarity.of(run)
             # One sort of single words: record, then level, then hash. Equal runs come together.
             packed = (row.astype(np.uint64) << np.uint64(HASH_BITS + LEVEL_BITS)) | (level << np.uint64(HASH_BITS)) | (run >> np.uint64(64 - HASH_BITS))
             packed.sort()
             packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
             of, run = (packed >> np.uint64(HASH_BITS + LEVEL_BITS)).astype(np.int64), packed & low
+            level = (packed >> np.uint64(HASH_BITS)) & np.uint64((1 << LEVEL_BITS) - 1)
             first = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
             rows, n = of[first], np.diff(np.append(first, len(of)))
             with np.errstate(over="ignore"):
@@ -193,14 +247,13 @@ def _key_rows(batches: Iterator[pa.RecordBatch], levels: np.ndarray, how: Simila
                         key = B.mix64(key * np.uint64(0xD6E8FEB86659FD93) + run[at + k])
                 sent.append((at, key))
             at, key = np.concatenate([a for a, _ in sent]), np.concatenate([k for _, k in sent])
-            where = (key >> np.uint64(40)) % np.uint64(buckets)
-            by = np.lexsort((at, where))
-            edges = np.searchsorted(where[by], np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                mine = by[edges[b] : edges[b + 1]]
-                if len(mine):
-                    pick = at[mine]
-                    out.append((b, 0, _pack_keys(owner[rank[pick]], size[pick], key[mine], pos[pick])))
+            # The rarest run of a key comes first and bounds its holders.
+            at, key, side = _split_hot(at, key, rarity.blocks(level[at]), owner[rank[at]])
+            order = np.argsort(at, kind="stable")
+            at, key, side = at[order], key[order], side[order]
+            for b, mine in B.groups_of((key >> np.uint64(40)) % np.uint64(buckets)):
+                pick = at[mine]
+                out.append((b, 0, _pack_keys(owner[rank[pick]], size[pick], key[mine], pos[pick] + (side[mine].astype(np.int64) << SIDE))))
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(cols, schema)], schema=schema)
 
@@ -244,17 +297,21 @@ def _candidates(parts: list[bytes], threshold: float) -> Iterator[tuple[np.ndarr
     near[1:] |= same
     near[:-1] |= same
     order = order[near]
-    owner, size, key, pos = owner[order], size[order].astype(np.float64), key[order], pos[order].astype(np.float64)
+    owner, size, key, pos = owner[order], size[order].astype(np.float64), key[order], pos[order]
     order = np.lexsort((owner, key))
     owner, size, key, pos = owner[order], size[order], key[order], pos[order]
+    side, pos = pos >> np.uint32(SIDE), (pos & np.uint32((1 << SIDE) - 1)).astype(np.float64)
     waiting: list[tuple[np.ndarray, ...]] = []
     held = 0
+    alive = np.arange(len(key))
     for step in range(1, len(key)):
-        i = np.nonzero(key[step:] == key[:-step])[0]
-        if not len(i):
+        # Only a key met at the step before can be met at this one.
+        alive = alive[alive + step < len(key)]
+        alive = alive[key[alive + step] == key[alive]]
+        if not len(alive):
             break
-        j = i + step
-        ok = owner[i] != owner[j]
+        i, j = alive, alive + step
+        ok = (owner[i] != owner[j]) & ((side[i] != side[j]) | (side[i] == 0))
         ok &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
         common = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
         most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
@@ -377,9 +434,9 @@ def near_duplicates(records: DataFrame, how: Similarity) -> NearDuplicates:
     spark = records.sparkSession
     texts = records.where(F.col("text").isNotNull() & F.col("key").isNotNull()).select("tbl", "key", "text")
     n = B.bucket_count(records, BYTES_PER_BUCKET)
-    levels = spark.sparkContext.broadcast(rarity_levels(texts, how))
-    packed = texts.mapInArrow(lambda it: _key_rows(it, levels.value, how, n), "bucket int, owner bigint, payload binary")
-    stage = cut(packed.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(lambda it: _meet(it, how.threshold), STAGE))
+    rarity = spark.sparkContext.broadcast(rarity_levels(texts, how, sketch_bits(B.source_bytes(records))))
+    packed = texts.mapInArrow(lambda it: _key_rows(it, rarity.value, how, n), "bucket int, owner bigint, payload binary")
+    stage = cut(B.place_buckets(packed, n).mapInArrow(lambda it: _meet(it, how.threshold), STAGE))
     classes = stage.where("b is null").groupBy(F.col("a").alias("cls"), "tbl", "key").agg(F.min("txt").alias("txt"))
     # Pairs that meet in fewer keys than similar sets must are chance meetings.
     met = stage.where("b is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("needed").alias("needed"))

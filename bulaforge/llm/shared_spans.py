@@ -170,8 +170,9 @@ def shared_chars(df: DataFrame, key: str, text: str, min_chars: int = 200) -> Da
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.length("text") >= min_chars)
     docs = docs.select("id", F.xxhash64("text").alias("owner"), "text")
 
-    texts = docs.select("id", "owner", F.length("text").cast("bigint").alias("n_chars"))
-    groups = texts.groupBy("owner").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("rep"))
+    # Equal texts are told by 64 and another 128 bits.
+    texts = docs.select("id", "owner", F.unhex(F.md5("text")).alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+    groups = texts.groupBy("owner", "digest").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("rep"))
 
     anchors = B.shared_places(docs.select("owner", "text"), lambda it: _anchor_rows(it, period, cover, width, n), n, wide=False)
     # One text stands for all its copies, so a text that fills a third of the input is extended once.
@@ -183,5 +184,5 @@ def shared_chars(df: DataFrame, key: str, text: str, min_chars: int = 200) -> Da
     covered = B.join_places(windows).mapInArrow(lambda it: _covered(it, min_chars), "owner bigint, covered bigint")
 
     amount = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("covered"))
-    out = texts.join(groups.join(covered, "owner", "left").select("owner", "copies", "covered"), "owner")
+    out = texts.join(groups.join(covered, "owner", "left").select("owner", "digest", "copies", "covered"), ["owner", "digest"])
     return out.groupBy(F.col("id").alias(key)).agg(F.max(amount).alias("shared_chars")).where(F.col("shared_chars") > 0)

@@ -1,9 +1,12 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bulaforge.llm import near_dup
 from bulaforge.llm.near_dup import Similarity, components, key_pairs, key_plan, near_duplicates, unexpanded_copies
 
 
@@ -106,3 +109,32 @@ def test_plan_covers_small_sets():
     for t in (0.5, 0.7, 0.8, 0.9):
         plan = key_plan(t)
         assert plan[-1][0] == 1 and all(a[0] > b[0] for a, b in zip(plan, plan[1:]))
+
+
+def test_hot_keys_are_split_into_blocks_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 5)
+    monkeypatch.setattr(near_dup, "HOT_LOADS", 0)
+    how = Similarity(run=3, threshold=0.7, min_words=20)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(250)]
+    rows = [(0, f"a{g}", " ".join(edited(rng, base, vocabulary))) for g in range(40)]
+    rows += [(1, f"b{g}", " ".join(rng.choice(vocabulary) for _ in range(40))) for g in range(40)]
+    df = spark.createDataFrame(rows, "tbl int, key string, text string")
+    found = [tuple(r) for r in key_pairs(near_duplicates(df, how), how).collect()]
+    want = brute(set(rows), how)
+    assert len(want) > 50 and len(found) == len(set(found)) and set(found) == want
+
+
+def test_split_holders_of_a_key_meet_exactly_once():
+    owner = np.arange(50, dtype=np.int64) * 977
+    at, key, side = near_dup._split_hot(np.arange(50), np.full(50, 7, np.uint64), np.full(50, 6), owner)
+    met = Counter()
+    for k in np.unique(key):
+        held = [(int(a), int(s)) for a, s in zip(at[key == k], side[key == k])]
+        met.update(frozenset((a, b)) for i, (a, s) in enumerate(held) for b, t in held[i + 1 :] if s != t or s == 0)
+    assert len(met) == 50 * 49 // 2 and set(met.values()) == {1}
+
+
+def test_the_sketch_grows_with_the_input_up_to_its_bound():
+    assert [near_dup.sketch_bits(n) for n in (1, 1 << 30, 1 << 34, 1 << 42, 1 << 60)] == [18, 18, 20, 24, 24]
