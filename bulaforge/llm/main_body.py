@@ -1,23 +1,29 @@
 """Main body of web pages by line-block distribution, with corpus statistics of repeated lines.
 
 A page is stripped of its markup into lines, one per block (heading, paragraph, list
-item, table cell, definition term, text directly in a div). The text lengths outside
-links are summed over sliding windows of lines; the body lies between the line where
-the sums surge and the one where they dive. Pages of one site repeat the lines of their
-frame, so three rounds go over all pages:
+item, table cell, definition term, text directly in a div). Text lengths are summed over
+sliding windows of lines. The body begins where the sums surge and ends where they dive;
+a page may hold several such stretches, parted by boxes. Lines of links, lines inside
+frame elements and lines that pages share as part of their frame have no length, so a
+navigation bar, a notice or a footer makes no block.
 
-1. Each distinct line (digits and names masked) is counted over all pages.
+Which repeated lines are frame and which are headings of the body, the pages tell:
+
+1. Each page is parsed once into lines; each distinct line (digits and inner names
+   masked) is counted over all pages.
 2. The distribution of each page is taken over its lines that don't recur, and the
-   recurring lines are counted inside and outside the span between surge and dive:
-   headings and table labels lie inside, navigation, notices and footers outside.
-3. Each page is decided with the frame lines, link lines and frame elements as empty:
-   the product heading or the surge begins the body, what is empty is left out, and
-   on marked-up pages the body ends at the dive (see `_dive`).
-
-Only line hashes are shuffled for the counts; the sets of lines are joined, not
-collected. Defined results: null, blank and error pages give no rows; plain text is
-read line by line; a block that occurs twice on a page gives one row; repeated rows of
-a page count once; unclosed tags end where the next block begins.
+   recurring lines are counted inside and outside the stretch from surge to dive.
+   Headings and table labels lie inside, navigation, notices and footers outside.
+3. The distribution is taken again with the frame lines empty. A stretch with a surge is
+   kept from surge to dive; of what lies outside only lines that recur inside bodies, cells
+   and items of lists and tables, and the heading of the page are kept.
+
+Only line hashes are shuffled for the counts. The hashes that at least HOT_SHARE of the
+pages show are few at any size (mean lines of a page / HOT_SHARE at most) and go out by
+broadcast; the others, none of which is a hot key, are joined. Defined results: null,
+blank and error pages give no rows; plain text is read line by line; a block that occurs
+twice on a page gives one row; repeated rows of a page count once; unclosed tags end
+where the next block begins; on a single page nothing recurs, so its own lengths decide.
 """
 
 from __future__ import annotations
@@ -25,275 +31,299 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bulaforge.session import cut
 
-WINDOW = 3
-SURGE = 80
+#: Lines in a window; the characters at which its sum surges and below which it has dived.
+WINDOW, SURGE, DIVE = 3, 80, 40
 LINK_SHARE = 0.5
-MIN_PAGES = 3
-COMMON_SHARE = 0.01
+#: A line recurs if a second page shows it.
+RECURS = 2
+#: Share of the pages from which a line goes by broadcast instead of a join.
+HOT_SHARE = 1e-4
+#: A heading above a body is shown on at most this share of the pages that show the frame line above it.
+RARER = 0.1
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|title|template|svg|head(?=\s*>)(?!))\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^<>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|title|template|svg|head(?=\s*>)(?!))\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|([^<]+|<)",
     re.S | re.I,
 )
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>")
 _HAS_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>|<!--|<!doctype", re.I)
-#: Elements that don't end a block, and elements that frame a page.
+# Elements that don't end a block, elements and roles that frame a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 FRAME = frozenset("nav aside footer header button select form dialog menu".split())
+_FRAME_ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|dialog|alertdialog|search|menu|menubar|toolbar)\b", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTED = frozenset("li td th dt dd".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-_SPACE = re.compile(r"\s+")
+LIKE = frozenset("p li dt dd tr td th option".split())
 _NAME = re.compile(r"(?<=\s)[A-ZÀ-ÝŒ][\w’'-]*")
-_NAME_LINE = re.compile(r"[A-ZÀ-Ý][a-zà-ÿ]+(?: \d+(?:[.,]\d+)? ?(?:mg|g|ml|µg|%))?\Z")
-
-
-@dataclass
-class Line:
-    text: str
-    tag: str
-    links: float
-    framed: bool
-    depth: int
-    anchors: list[str] = field(default_factory=list)
-
-
-def _finish(parts: list[tuple[str, bool]], stack: list[str], framed: bool, out: list[Line]) -> None:
-    text = _SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
-    if text:
-        letters = lambda s: sum(c.isalnum() for c in s)
-        anchors = [_SPACE.sub(" ", html.unescape(p)).strip() for p, link in parts if link]
-        share = sum(letters(a) for a in anchors) / max(1, letters(text))
-        tag = stack[-1].split(":")[0] if stack else ""
-        # Boxes inside a div: text directly in a div counts as standing beside it.
-        depth = sum(t.startswith("div") for t in stack[:-1])
-        out.append(Line(text, tag, share, framed, depth, [a for a in anchors if a]))
-    parts.clear()
-
-
-def page_lines(page: str) -> list[Line]:
-    """The blocks of a page in order; plain text gives its non-blank lines."""
+_DIGITS = re.compile(r"\d+")
+
+#: What a line is, as bits; the depth of its boxes stands above them.
+LINK, FRAMED, HEADING, LIST, TOP, TAGGED, BOX, DEPTH = 1, 2, 4, 8, 16, 32, 64, 8
+
+
+def line_key(text: str) -> str:
+    """A line with digits and the names inside it masked."""
+    return _DIGITS.sub("#", _NAME.sub("@", text)).lower()
+
+
+def _text(raw: str) -> str:
+    """Decoded, white space as single blanks."""
+    return " ".join((html.unescape(raw) if "&" in raw else raw).split())
+
+
+def page_lines(page: str) -> tuple[list[str], list[int], list[list[str]]]:
+    """(texts, bits, texts of the links) of the blocks of a page in order; plain text gives its non-blank lines."""
+    texts: list[str] = []
+    bits: list[int] = []
+    anchors: list[list[str]] = []
     if not _HAS_TAG.search(page):
-        lines = (_SPACE.sub(" ", html.unescape(x)).strip() for x in re.split(r"[\r\n]+", page))
-        return [Line(x, "", 0.0, False, 0) for x in lines if x]
-    out: list[Line] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[str] = []
-    link = 0
-    frames = 0
-    for m in _TOKEN.finditer(page):
-        token = m.group()
-        if token[0] != "<" or len(token) == 1:
-            parts.append((token, link > 0))
+        for raw in re.split(r"[\r\n]+", page):
+            text = _text(raw)
+            if text:
+                texts.append(text)
+                bits.append(0)
+                anchors.append([])
+        return texts, bits, anchors
+    parts: list[str] = []
+    linked: list[str] = []
+    stack: list[tuple[str, bool]] = []
+    link, frames, divs = False, 0, 0
+
+    def finish() -> None:
+        text = _text("".join(parts))
+        parts.clear()
+        if text:
+            tag = stack[-1][0] if stack else ""
+            bit = TAGGED | (FRAMED if frames else 0) | (HEADING if tag in HEADINGS else 0) | (LIST if tag in LISTED else 0) | (TOP if tag == "h1" else 0)
+            own = []
+            if linked:
+                own = [a for a in map(_text, linked) if a]
+                letters = sum(map(str.isalnum, text))
+                bit |= LINK if sum(sum(map(str.isalnum, a)) for a in own) >= LINK_SHARE * max(1, letters) else 0
+            texts.append(text)
+            # Boxes inside a div: text directly in a div counts as standing beside it.
+            bits.append(bit | (divs - (tag == "div")) << DEPTH)
+            anchors.append(own)
+        linked.clear()
+
+    for _, closing, name, attrs, text in _TOKEN.findall(page):
+        if text:
+            if parts or not text.isspace():
+                parts.append(text)
+                if link:
+                    linked.append(text)
             continue
-        t = _TAG.match(token)
-        if not t or m.group(1):
+        if not name:
             continue
-        closing, name, attrs = t.group(1), t.group(2).lower(), t.group(3)
+        name = name.lower()
         if name == "br":
-            parts.append((" ", False))
+            parts.append(" ")
         elif name == "a":
-            link = 0 if closing else 1
+            link = not closing
         elif name not in INLINE:
-            _finish(parts, stack, frames > 0, out)
-            link = 0
+            if parts:
+                finish()
+            link = False
             if name in VOID:
                 continue
             if closing:
-                while stack and any(s.split(":")[0] == name for s in stack):
-                    top = stack.pop()
-                    frames -= top.endswith(":f")
-                    if top.split(":")[0] == name:
-                        break
+                if any(s[0] == name for s in stack):
+                    while True:
+                        top, frame = stack.pop()
+                        frames -= frame
+                        divs -= top == "div"
+                        if top == name:
+                            break
             else:
                 # A paragraph or item that isn't closed ends where its like begins.
-                if stack and stack[-1].split(":")[0] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                    frames -= stack.pop().endswith(":f")
-                frame = name in FRAME or "dialog" in attrs.lower()
+                if stack and stack[-1][0] == name and name in LIKE:
+                    frames -= stack.pop()[1]
+                frame = name in FRAME or ("role" in attrs and _FRAME_ROLE.search(attrs) is not None)
                 frames += frame
-                stack.append(name + (":f" if frame else ""))
-    _finish(parts, stack, frames > 0, out)
-    return out
+                divs += name == "div"
+                stack.append((name, frame))
+    if parts:
+        finish()
+    # Headings with nothing but a list of links below head a box.
+    for i in range(len(bits) - 1):
+        if bits[i] & HEADING and not bits[i] & TOP and bits[i + 1] & LIST and bits[i + 1] & LINK:
+            bits[i] |= BOX
+    return texts, bits, anchors
 
 
-def line_key(text: str) -> str:
-    """A line with digits and the names inside it masked."""
-    return re.sub(r"\d+", "#", _NAME.sub("@", text)).lower()
+def _sums(lengths: list[int]) -> list[int]:
+    """The sums of the windows; one for fewer lines than a window has."""
+    return [sum(lengths[i : i + WINDOW]) for i in range(max(1, len(lengths) - WINDOW + 1))]
 
 
 def span(lengths: list[int]) -> tuple[int, int] | None:
-    """First line of the surge and last line before the dive of the windowed sums."""
-    if not lengths:
-        return None
-    a = np.asarray(lengths)
-    sums = np.convolve(a, np.ones(WINDOW, int))[WINDOW - 1 :] if len(a) >= WINDOW else np.array([a.sum()])
-    full = np.nonzero(sums >= SURGE)[0]
-    if not len(full):
+    """First line of the surge and last line before the dive of the windowed sums; None without a surge."""
+    sums = _sums(lengths)
+    surge = next((i for i, s in enumerate(sums) if s >= SURGE), None)
+    if surge is None:
         return None
-    some = np.nonzero(a > 0)[0]
-    begin, end = full[0], min(len(a) - 1, full[-1] + WINDOW - 1)
-    return int(some[some >= begin][0]), int(some[some <= end][-1])
-
-
-def _first_heading(lines: list[Line]) -> int | None:
-    return next((i for i, x in enumerate(lines) if x.tag == "h1" and not x.framed), None)
+    last = next(i for i in range(len(sums) - 1, -1, -1) if sums[i] >= DIVE)
+    some = [i for i, n in enumerate(lengths) if n]
+    return next(i for i in some if i >= surge), max(i for i in some if i <= last + WINDOW - 1)
 
 
-def _box_headings(lines: list[Line]) -> set[int]:
-    """Headings with nothing but a list of links below."""
-    head = ("h2", "h3", "h4", "h5", "h6")
-    return {i for i, x in enumerate(lines[:-1]) if x.tag in head and lines[i + 1].tag == "li" and lines[i + 1].links >= LINK_SHARE}
+def _stretch(lengths: list[int]) -> tuple[int, int] | None:
+    """From the first surge to the last line of the last window that surges."""
+    full = [i for i, s in enumerate(_sums(lengths)) if s >= SURGE]
+    if not full:
+        return None
+    some = [i for i, n in enumerate(lengths) if n]
+    return next(i for i in some if i >= full[0]), max(i for i in some if i <= full[-1] + WINDOW - 1)
 
 
-def _statistics(lines: list[Line], recurring: set[int]) -> Iterator[tuple[str, int, int]]:
-    """(key, inside, outside) of the recurring lines of a marked-up page; anchors count as outside."""
-    if not any(x.tag for x in lines):
+def _statistics(keys: list[int], bits: list[int], lengths: list[int], recurring: set[int]) -> Iterator[tuple[int, int, int]]:
+    """(key, inside, outside) of the lines of a marked-up page; links count as outside."""
+    if not bits or not bits[0] & TAGGED:
+        return
+    top = next((i for i, b in enumerate(bits) if b & TOP and not b & FRAMED), None)
+    own = _stretch([0 if i in recurring or b & (FRAMED | LINK) else n for i, (b, n) in enumerate(zip(bits, lengths))])
+    if own is None:
+        # A page without a line of its own (a copy of another) tells nothing but its links and frame elements.
+        yield from ((keys[i], 0, 1) for i, b in enumerate(bits) if b & (LINK | FRAMED))
         return
-    top = _first_heading(lines)
-    own = span([0 if i in recurring or x.framed or x.links >= LINK_SHARE else len(x.text) for i, x in enumerate(lines)])
-    boxes = _box_headings(lines)
     # Without a heading of the product the headings right above the surge begin the inside.
-    begin = top if top is not None or own is None else own[0]
-    while top is None and begin and lines[begin - 1].tag in HEADINGS and not lines[begin - 1].framed and lines[begin - 1].links < LINK_SHARE:
+    begin = own[0] if top is None else top
+    while top is None and begin and bits[begin - 1] & HEADING and not bits[begin - 1] & (FRAMED | LINK):
         begin -= 1
-    level = lines[begin].depth if begin is not None else 0
-    for i, x in enumerate(lines):
-        inside = begin is not None and own is not None and begin <= i <= own[1] and not x.framed
-        if x.links >= LINK_SHARE:
+    level = bits[begin] >> DEPTH
+    for i, b in enumerate(bits):
+        inside = begin <= i <= own[1] and not b & FRAMED
+        if b & LINK:
             # Links inside the body may repeat its headings: their lines say nothing of those.
-            yield line_key(x.text), 0, 0 if inside and x.tag == "li" else 1
-            if len(x.anchors) > 1:
-                for a in x.anchors:
-                    yield line_key(a), 0, 1
+            yield keys[i], 0, 0 if inside and b & LIST else 1
         else:
-            boxed = i in boxes or x.depth > level
-            yield line_key(x.text), int(inside and not boxed), int(not inside or boxed)
+            boxed = b & BOX or b >> DEPTH > level
+            yield keys[i], int(inside and not boxed), int(not inside or bool(boxed))
 
 
-def body(lines: list[Line], frame_lines: set[int], body_lines: set[int], common_lines: set[int]) -> list[str]:
-    """The distinct blocks of the main body. frame_lines and body_lines: the recurring lines of either kind;
-    common_lines: the frame lines that many pages show."""
-    empty = [x.framed or x.links >= LINK_SHARE or i in frame_lines for i, x in enumerate(lines)]
-    top = _first_heading(lines)
-    if any(x.tag for x in lines):
-        for i in _box_headings(lines):
-            empty[i] = True
-    else:
-        begun = False
-        for i, x in enumerate(lines):
-            name = i not in body_lines and _NAME_LINE.match(x.text) is not None
-            # A name below the heading of a box belongs to the box.
-            if not empty[i] and begun and name and empty[i - 1]:
-                empty[i] = True
-            begun = begun or not empty[i]
-        # The product heading stands above the first line of the body, also where boxes of other pages name it.
-        first = next((i for i, e in enumerate(empty) if not e), 0)
-        above = first - 1
-        while above >= 0 and above in common_lines:
-            above -= 1
-        if above >= 0 and first in body_lines and " — " not in lines[first].text and _NAME_LINE.match(lines[above].text):
-            empty[above] = False
+def body(texts: list[str], bits: list[int], frame: dict[int, int], inner: set[int]) -> list[str]:
+    """The distinct blocks of the main body. frame: the lines that recur as frame, with the pages that show them;
+    inner: the lines that recur inside bodies."""
+    n = len(texts)
+    empty = [bool(b & (FRAMED | LINK | BOX)) or i in frame for i, b in enumerate(bits)]
+    top = next((i for i, b in enumerate(bits) if b & TOP and not b & FRAMED), None)
     if top is not None:
-        first, empty[top] = top, False
-    else:
-        # Frame lines are gone, so the surge stands right below the headings of the body.
-        kept = [i for i, e in enumerate(empty) if not e]
-        if span([len(lines[i].text) for i in kept]) is None:
-            return []
-        first = kept[0]
-    kept = [i for i in range(first, len(lines)) if not empty[i]]
-    if any(x.tag for x in lines):
-        kept = kept[: _dive(lines, kept, body_lines)]
-    return list(dict.fromkeys(lines[i].text for i in kept))
-
-
-def _dive(lines: list[Line], kept: list[int], body_lines: set[int]) -> int:
-    """How many of the kept lines stand before the dive. Parts of a body are parted by boxes, and short cells or items
-    may end it: the dive comes only where the lines after a gap hold no surge, no list or table and no recurring body line."""
-    end = len(kept)
-    while end:
-        begin = end - 1
-        while begin and kept[begin - 1] == kept[begin] - 1:
-            begin -= 1
-        part = kept[begin:end]
-        if not begin or span([len(lines[i].text) for i in part]) or any(i in body_lines or lines[i].tag in LISTED for i in part):
-            break
-        end = begin
-    return end
-
-
-def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys: dict[str, list[int]] = {}
-        for page, recurring in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for key, inside, outside in _statistics(page_lines(page), set(recurring or ())):
-                k = keys.setdefault(key, [0, 0])
-                k[0] += inside
-                k[1] += outside
-        cols = [pa.array(_hashes(list(keys)), pa.int64()), pa.array([k[0] for k in keys.values()], pa.int64()), pa.array([k[1] for k in keys.values()], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["h", "inside", "outside"])
+        # The heading of the product begins the body.
+        for i in range(top):
+            empty[i] = True
+        empty[top] = False
+    kept: list[int] = []
+    surged = None
+    i = 0
+    while i < n:
+        if empty[i]:
+            i += 1
+            continue
+        end = i
+        while end < n and not empty[end]:
+            end += 1
+        found = span([len(texts[k]) for k in range(i, end)])
+        if found:
+            surged = i if surged is None else surged
+        for k in range(i, end):
+            if found and found[0] <= k - i <= found[1] or k in inner or bits[k] & (LIST | HEADING):
+                kept.append(k)
+        i = end
+    if surged is None:
+        return []
+    if not bits[0] & TAGGED:
+        kept = [k for k in kept if k >= surged]
+        # Plain text has no heading element. The line above the body is its heading if it is rare among the pages, unlike the frame above it.
+        if surged and empty[surged - 1] and surged - 1 in frame and frame[surged - 1] <= RARER * frame.get(surged - 2, 0):
+            kept.insert(0, surged - 1)
+    return list(dict.fromkeys(texts[k] for k in kept))
 
 
 def _hashes(keys: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(keys, dtype=object), categorize=False).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, ord, h, first): the lines of each page; first is 1 where a page shows its line for the first time."""
+def _lists(values: pa.Array, lens: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), values)
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page: its lines, their keys, lengths and bits, and the keys of the links in lines of several."""
     for batch in batches:
-        ids, ords, keys, firsts = [], [], [], []
-        for i, page in enumerate(batch.column(1).to_pylist()):
-            seen: set[str] = set()
-            for k, x in enumerate(page_lines(page)):
-                key = line_key(x.text)
-                ids.append(i)
-                ords.append(k)
-                keys.append(key)
-                firsts.append(int(key not in seen))
-                seen.add(key)
-        cols = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ords, pa.int32()), pa.array(_hashes(keys), pa.int64()), pa.array(firsts, pa.int32())]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "ord", "h", "first"])
+        texts, bits, lens, links, link_lens = [], [], [], [], []
+        for page in batch.column(1).to_pylist():
+            own, what, anchors = page_lines(page)
+            texts += own
+            bits += what
+            lens.append(len(own))
+            several = [line_key(a) for line, b in zip(anchors, what) if len(line) > 1 and b & LINK for a in line]
+            links += several
+            link_lens.append(len(several))
+        keys = pa.array(_hashes([line_key(t) for t in texts]), pa.int64())
+        cols = [
+            batch.column(0), _lists(pa.array(texts, pa.string()), lens), _lists(keys, lens), _lists(pa.array([len(t) for t in texts], pa.int32()), lens),
+            _lists(pa.array(bits, pa.int32()), lens), _lists(pa.array(_hashes(links), pa.int64()), link_lens),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "texts", "h", "n", "bits", "links"])
+
+
+def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: dict[int, list[int]] = {}
+        for h, n, bits, links, recurring in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for key, inside, outside in _statistics(h, bits, n, set(recurring or ())):
+                k = counts.setdefault(key, [0, 0])
+                k[0] += inside
+                k[1] += outside
+            for key in links:
+                counts.setdefault(key, [0, 0])[1] += 1
+        cols = [pa.array(list(counts), pa.int64()), pa.array([k[0] for k in counts.values()], pa.int64()), pa.array([k[1] for k in counts.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["h", "inside", "outside"])
 
 
 def _body_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, blocks = [], []
-        for i, (page, frame, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
-            framed = {k for k, _ in frame or ()}
-            found = body(page_lines(page), framed, set(own or ()), {k for k, common in frame or () if common})
+        for i, (texts, bits, known) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+            frame = {x["ord"]: x["v"] for x in known or () if x["v"] > 0}
+            found = body(texts, bits, frame, {x["ord"] for x in known or () if x["v"] <= 0})
             ids += [i] * len(found)
             blocks += found
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(blocks, pa.string())], names=["id", "block"])
 
 
+def _known_lines(parsed: DataFrame, values: DataFrame, hot_from: float, found: Column) -> DataFrame:
+    """(id, known): of each page the lines whose key is in values(h, pages, …), as collected by `found`."""
+    lines = parsed.select("id", F.posexplode("h").alias("ord", "h"))
+    hot = F.broadcast(values.where(F.col("pages") >= hot_from))
+    rest = values.where(F.col("pages") < hot_from)
+    cold = lines.join(hot.select("h"), "h", "left_anti").join(rest, "h")
+    return lines.join(hot, "h").unionByName(cold).groupBy("id").agg(found.alias("known"))
+
+
 def main_body(pages: DataFrame, key: str, content: str) -> DataFrame:
     """(key, block): the distinct blocks of the main body of each page."""
     p = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{content}`").alias("page")).where("id is not null and page is not null")
     kind = p.schema["id"].dataType.simpleString()
     once = p.groupBy("id").agg(F.min("page").alias("page"))
-    lines = cut(once.mapInArrow(_key_batches, f"id {kind}, ord int, h bigint, first int"))
-    recurring = lines.groupBy("h").agg(F.sum("first").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("h")
-    shown = lines.join(recurring, "h").groupBy("id").agg(F.collect_set("ord").alias("recurring"))
-    counts = once.join(shown, "id", "left").select("id", "page", "recurring").mapInArrow(_stat_batches, "h bigint, inside bigint, outside bigint")
-    total = counts.groupBy("h").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    many = COMMON_SHARE * lines.where("ord = 0").count()
-    placed = cut(
-        total.where(F.col("inside") + F.col("outside") >= MIN_PAGES).select(
-            "h", (F.col("outside") > F.col("inside")).alias("frame"), (F.col("outside") >= many).alias("common")
-        )
-    )
-    kinds = lines.join(placed, "h").groupBy("id").agg(
-        F.collect_set(F.when(F.col("frame"), F.array(F.col("ord"), F.col("common").cast("int")))).alias("frame"), F.collect_set(F.when(~F.col("frame"), F.col("ord"))).alias("own")
-    )
-    decided = once.join(kinds, "id", "left").select("id", "page", "frame", "own").mapInArrow(_body_batches, f"id {kind}, block string")
+    parsed = cut(once.mapInArrow(_parse_batches, f"id {kind}, texts array<string>, h array<bigint>, n array<int>, bits array<int>, links array<bigint>"))
+    hot_from = HOT_SHARE * parsed.count()
+    recurring = cut(parsed.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= RECURS))
+    shown = _known_lines(parsed, recurring, hot_from, F.collect_list("ord"))
+    counts = parsed.select("id", "h", "n", "bits", "links").join(shown, "id", "left").select("h", "n", "bits", "links", "known").mapInArrow(_stat_batches, "h bigint, inside bigint, outside bigint")
+    total = counts.groupBy("h").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).where(F.col("inside") + F.col("outside") >= RECURS)
+    # A positive value: frame, on so many pages; else inside.
+    value = F.when(F.col("outside") > F.col("inside"), F.col("outside")).otherwise(F.lit(0))
+    placed = cut(total.select("h", (F.col("inside") + F.col("outside")).alias("pages"), value.alias("v")))
+    known = _known_lines(parsed, placed, hot_from, F.collect_list(F.struct("ord", "v")))
+    decided = parsed.select("id", "texts", "bits").join(known, "id", "left").mapInArrow(_body_batches, f"id {kind}, block string")
     return decided.select(F.col("id").alias(key), "block")

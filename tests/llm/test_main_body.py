@@ -1,6 +1,6 @@
 import random
 
-from bulaforge.llm.main_body import body, line_key, main_body, page_lines, span
+from bulaforge.llm.main_body import LIST, body, line_key, main_body, page_lines, span
 
 FRAME = ["Política de privacidade e termos de utilização deste sítio", "Subscreva o boletim semanal e receba os alertas no seu correio."]
 
@@ -40,18 +40,26 @@ def test_bodies_of_three_layouts(spark):
 
 
 def test_lines_of_a_page():
-    got = [(x.text, x.tag) for x in page_lines("<div>um&nbsp; <b>d</b>ois<br>três<p>quatro</div><!-- > x --><ul><li>cinco<li>seis</ul><td>sete")]
-    assert got == [("um dois três", "div"), ("quatro", "p"), ("cinco", "li"), ("seis", "li"), ("sete", "td")]
-    assert [x.text for x in page_lines("a < 5 mg\n\n b ")] == ["a < 5 mg", "b"]
-    assert page_lines("") == []
-    assert len(page_lines("<p>" + "x" * 500_000)) == 1
+    texts, bits, _ = page_lines("<div>um&nbsp; <b>d</b>ois<br>três<p>quatro</div><!-- > x --><ul><li>cinco<li>seis</ul><td>sete")
+    assert texts == ["um dois três", "quatro", "cinco", "seis", "sete"] and [bool(b & LIST) for b in bits] == [False, False, True, True, True]
+    assert page_lines("a < 5 mg\n\n b ")[0] == ["a < 5 mg", "b"]
+    assert page_lines("") == ([], [], [])
+    assert len(page_lines("<p>" + "x" * 500_000)[0]) == 1
 
 
 def test_span_and_keys():
     assert span([]) is None and span([10, 10]) is None
     assert span([5, 0, 100, 90, 0, 80, 0, 0, 0, 3]) == (0, 5)
     assert line_key("Linha 800 de Zirovet 5") == line_key("Linha 12 de Outrovet 7")
-    assert body([], set(), set(), set()) == []
+    assert body([], [], {}, set()) == []
+
+
+def test_the_dive_decides_where_the_body_ends(spark):
+    """One page alone: nothing recurs, no element is a frame, only the lengths tell."""
+    long = "a dose recomendada para este animal é dada ao longo de todo o dia " * 3
+    page = "<div>" + "".join(f"<p>n{i}</p>" for i in range(9)) + f"<p>{long}</p><p>{long}fim</p>" + "".join(f"<p>{w}</p>" for w in WORDS[:12]) + "</div>"
+    got = [r["block"] for r in main_body(spark.createDataFrame([(1, page)], "id int, page string"), "id", "page").collect()]
+    assert {long.strip(), f"{long}fim"} <= set(got) and not set(got) & set(WORDS[3:12]) and not set(got) & {f"n{i}" for i in range(7)}
 
 
 def test_short_text_after_the_dive_is_left_out(spark):
