@@ -33,9 +33,8 @@ from pyspark.sql import types as T
 
 WHITE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 EDGE = WHITE + ";|,•·/&+-–—"
-#: The words for "and" in the languages of the data.
+#: The words for "and" in the languages of the data.
 AND_WORDS = ("e", "y", "et", "and")
-MAX_LABEL_BYTES = 48
 
 
 def _shift(a: np.ndarray, by: int, fill: int) -> np.ndarray:
@@ -213,7 +212,7 @@ class _Scan:
         is_quote = self.quote[begin]
         wide = np.where(d[begin] == 0x22, 1, np.where(d[begin] == 0xE2, 3, 2))
         begin = np.minimum(np.where(is_quote, begin + wide, begin), colon)
-        good = (bad[colon] - bad[begin] == 0) & (letters[colon] - letters[begin] >= 2) & (colon - begin <= MAX_LABEL_BYTES) & self.letter[np.minimum(begin, len(d) - 1)]
+        good = (bad[colon] - bad[begin] == 0) & (letters[colon] - letters[begin] >= 2) & self.letter[np.minimum(begin, len(d) - 1)]
         keep = np.unique(kk[good])
         return begins[keep], ends[keep]
 

@@ -28,6 +28,11 @@ def test_labelled_keeps_the_text_of_an_item_whole():
     assert split_values(pa.array(["só texto, sem rótulo", None, ""]), "labelled").to_pylist() == [["só texto, sem rótulo"], [], []]
 
 
+def test_a_label_of_any_length_begins_an_item():
+    label = "Data da primeira autorização de introdução no mercado de medicamentos veterinários"
+    assert split_values(pa.array([f"Nome; {label}: 2001; Titular: A"]), "labelled").to_pylist()[0] == ["Nome", f"{label}: 2001", "Titular: A"]
+
+
 def brute(text):
     """Character by character, for texts of letters, blanks, quotes, brackets and ; only."""
     quotes = text.count('"') // 2 * 2
