@@ -2,13 +2,13 @@
 
 Spellings are resolved once per distinct spelling, not once per row: the distinct
 unit and denominator spellings are matched against the known names through an
-inverted index of character bigrams, candidates are verified by a weighted edit
+inverted index of letter pairs and letters, candidates are verified by a weighted edit
 distance, and the resulting alias dictionary is joined to all rows.
 
 Defined results: a row whose value holds no number, states no known unit or is
 given per animal, day or form yields no row; null and empty texts count as
 missing; repeated rows give one row per key; a range written backwards is kept
-as written.
+as written. Spellings that mean no known unit are reported by `unmatched_spellings`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names of units, their dimension and their size in the base unit
+from bulaforge.session import cut
+
+# Names of units, their dimension and their size in the base unit
 # (µg, µl, thousandths of an IU), and names of body-weight units in grams.
 UNIT_NAMES = [
     ("kg", "mass", 1e9), ("quilogramas", "mass", 1e9), ("g", "mass", 1e6), ("gr", "mass", 1e6), ("grama", "mass", 1e6), ("gramas", "mass", 1e6),
@@ -36,14 +38,15 @@ WEIGHT_NAMES = [
     ("kg", 1e3), ("kgs", 1e3), ("kg pv", 1e3), ("quilo", 1e3), ("quilos", 1e3), ("quilograma", 1e3), ("quilogramas", 1e3), ("g", 1.0), ("gr", 1.0), ("grama", 1.0), ("gramas", 1.0),
     ("lb", 453.59237), ("lbs", 453.59237), ("libra", 453.59237), ("libras", 453.59237), ("t", 1e6), ("ton", 1e6), ("tonelada", 1e6), ("toneladas", 1e6),
 ]
-#: Names that are near a unit's name and aren't one.
-OTHER_NAMES = ["animal", "dia", "dose", "cabeca", "quarto", "toma", "comprimido", "gota", "gotas", "saqueta", "pulverizacao", "hora", "semana", "ml"]
 
 _N = r"(?:[¼½¾⅓⅔⅛]|\d{1,3}(?:[ \u00a0\u202f\u2009]\d{3})+(?:[.,]\d+)?(?![\d])|\d+(?:[.,]\d+)*)"
 _RANGE = rf"(?:entre\s+)?{_N}(?:\s*(?:a|e|até|-|–|—)\s*{_N})?"
 _UNIT = r"(?:mil\s+|milh(?:ão|ões)\s+(?:de\s+)?)?[\p{L}µμ%?.³²3]+(?:\s+internacion\p{L}+)?"
 _DEN = rf"\s*(?:/|por\s+(?:cada\s+)?|per\s+|cada\s+)\s*({_N})?\s*([\p{{L}}]+(?:\s?p\.?v\b)?)"
-MIN_FUZZY, MAX_SHARE = 5, 0.2
+#: Distance a spelling may have from a name, as a share of the name's length; half an edit (a doubled letter, a swap) whatever the length.
+MAX_SHARE, HALF = 0.2, 0.5
+#: Names of fewer letters than this take no vowel for another: too little is left of them.
+SHORT = 5
 
 
 def spelling(c: Column) -> Column:
@@ -64,18 +67,18 @@ def number(c: Column) -> Column:
 
 
 def weighted_distance(a: str, b: str) -> float:
-    """Edit distance where a doubled letter, a swap of neighbours and a vowel for a vowel cost half."""
-    vowels = set("aeiou")
+    """Edit distance of a from the name b where a doubled letter, a swap of neighbours and, in names that aren't short, a vowel for a vowel cost half."""
+    vowels = set("aeiou") if len(b) >= SHORT else set()
     rows = [[float(j) for j in range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
         row = [float(i)]
         for j, y in enumerate(b, 1):
-            change = 0.0 if x == y else 0.5 if x in vowels and y in vowels else 1.0
-            drop = 0.5 if i > 1 and a[i - 2] == x else 1.0
-            add = 0.5 if j > 1 and b[j - 2] == y else 1.0
+            change = 0.0 if x == y else HALF if x in vowels and y in vowels else 1.0
+            drop = HALF if i > 1 and a[i - 2] == x else 1.0
+            add = HALF if j > 1 and b[j - 2] == y else 1.0
             best = min(rows[i - 1][j - 1] + change, rows[i - 1][j] + drop, row[j - 1] + add)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
-                best = min(best, rows[i - 2][j - 2] + 0.5)
+                best = min(best, rows[i - 2][j - 2] + HALF)
             row.append(best)
         rows.append(row)
     return rows[-1][-1]
@@ -87,33 +90,37 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["raw", "name", "dim", "size", "cost"]]
 
 
-def _bigrams(c: Column) -> Column:
+def _grams(c: Column) -> Column:
+    """Letter pairs, ends included, and single letters."""
     padded = F.concat(F.lit("^"), c, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
+    return F.array_distinct(F.concat(pairs, F.split(c, "")))
 
 
 def alias_dictionary(spellings: DataFrame, names: DataFrame) -> DataFrame:
     """(raw) × (name, dim, size) → (raw, dim, size): each distinct spelling with the name it means.
 
-    Exact spellings map at once. Others of at least MIN_FUZZY letters go through the
-    bigram index, keep names that share at least half of their bigrams, and map to the
-    name of least weighted distance within MAX_SHARE of their length, unless two names
-    of different meaning are equally near.
+    Exact spellings map at once. Others go through the index of letter pairs and letters,
+    keep names that share at least half as many of them as the name has letters, and map to
+    the name of least weighted distance within MAX_SHARE of its length (half an edit at
+    least), unless two names of different meaning are equally near.
     """
     raw = spellings.where(F.length("raw") > 0).distinct()
     exact = raw.join(names, raw.raw == names.name).select("raw", "dim", "size")
-    open_ = raw.join(names, raw.raw == names.name, "left_anti").where(F.length("raw") >= MIN_FUZZY)
-    index = names.where(F.length("name") >= MIN_FUZZY).select("name", "dim", "size", F.explode(_bigrams(F.col("name"))).alias("g"))
+    open_ = raw.join(names, raw.raw == names.name, "left_anti")
+    index = names.select("name", "dim", "size", F.explode(_grams(F.col("name"))).alias("g"))
+    allowed = F.greatest(F.lit(HALF), F.length("name") * MAX_SHARE)
     near = (
-        open_.select("raw", F.explode(_bigrams(F.col("raw"))).alias("g"))
+        open_.select("raw", F.explode(_grams(F.col("raw"))).alias("g"))
         .join(index, "g")
         .groupBy("raw", "name", "dim", "size")
         .agg(F.count("*").alias("shared"))
-        .where((F.col("shared") * 2 >= F.length("name")) & (F.abs(F.length("raw") - F.length("name")) <= 3))
+        # Every letter more or less costs half an edit or more.
+        .where((F.col("shared") * 2 >= F.length("name")) & (F.abs(F.length("raw") - F.length("name")) * HALF <= allowed))
     )
     cost = near.mapInPandas(_verify, "raw string, name string, dim string, size double, cost double")
     best = (
-        cost.where(F.col("cost") <= F.length("name") * MAX_SHARE)
+        cost.where(F.col("cost") <= allowed)
         .groupBy("raw", "dim", "size")
         .agg(F.min("cost").alias("cost"))
         .groupBy("raw")
@@ -124,24 +131,31 @@ def alias_dictionary(spellings: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def known_names(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The unit names and the denominator names; a denominator that is no body weight has size null."""
+    """The unit names and the names of body-weight denominators."""
     units = spark.createDataFrame(UNIT_NAMES, "name string, dim string, size double")
-    others = [(n, "other", None) for n in OTHER_NAMES]
-    weights = spark.createDataFrame([(n, "weight", s) for n, s in WEIGHT_NAMES] + others, "name string, dim string, size double")
+    weights = spark.createDataFrame([(n, "weight", s) for n, s in WEIGHT_NAMES], "name string, dim string, size double")
     return units, weights
 
 
+_HERE = "\x01"
+
+
 def _mentions(df: DataFrame) -> DataFrame:
-    """One row per place that may state the unit: the rest of valor, unidade, each copy of the number in contexto."""
+    """One row per place that may state the unit: the rest of valor, unidade, each copy of the number in contexto.
+
+    The number is marked in the context by a plain replacement, so that all patterns are constant."""
     lit = F.regexp_extract("valor", rf"(?iu)^[\s\u00a0]*({_RANGE})", 1)
     base = df.withColumn("lit", lit).where(F.length("lit") > 0)
     after = rf"(?iu)^\s*({_UNIT})?(?:{_DEN})?"
     rest = F.regexp_replace("valor", rf"(?iu)^[\s\u00a0]*{_RANGE}", "")
+    # The denominator may hold the same digits: they stand marked until the place is cut out.
+    den = _DEN.replace("(" + _N + ")?", rf"(?:[\d.,]*{_HERE}[\d.,{_HERE}]*|{_N})?").replace(r"([\p{L}]+(?:\s?p\.?v\b)?)", r"[\p{L}]+(?:\s?p\.?v\b)?")
     # The number as written, neither preceded nor followed by more digits of its own.
-    here = F.concat(F.lit(r"(?iu)(?<![\d.,])\Q"), F.col("lit"), F.lit(r"\E(?!\d|[.,]\d)((?:\s*" + _UNIT + r")?(?:" + _DEN.replace("(" + _N + ")?", _N + "?").replace(r"([\p{L}]+(?:\s?p\.?v\b)?)", r"[\p{L}]+(?:\s?p\.?v\b)?") + r")?)"))
+    here = rf"(?iu)(?<![\d.,{_HERE}]){_HERE}(?![\d{_HERE}]|[.,][\d{_HERE}])((?:\s*{_UNIT})?(?:{den})?)"
+    marked = F.replace(F.lower(F.translate("contexto", _HERE, " ")), F.lower("lit"), F.lit(_HERE))
     places = F.concat(
         F.array(F.struct(F.lit(0).alias("src"), rest.alias("said")), F.struct(F.lit(1).alias("src"), F.coalesce("unidade", F.lit("")).alias("said"))),
-        F.transform(F.coalesce(F.regexp_extract_all("contexto", here, F.lit(1)), F.array().cast("array<string>")), lambda s: F.struct(F.lit(2).alias("src"), s.alias("said"))),
+        F.transform(F.coalesce(F.regexp_extract_all(marked, F.lit(here), F.lit(1)), F.array().cast("array<string>")), lambda s: F.struct(F.lit(2).alias("src"), F.replace(s, F.lit(_HERE), F.col("lit")).alias("said"))),
     )
     rows = base.select("key", "lit", F.posexplode(places).alias("ord", "p")).select("key", "lit", "ord", "p.src", "p.said")
     return rows.select(
@@ -152,18 +166,35 @@ def _mentions(df: DataFrame) -> DataFrame:
     ).where((F.length("unit_raw") > 0) | (F.length("den_raw") > 0))
 
 
+def _resolved(doses: DataFrame, key: str, value: str, unit: str, context: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The places that may state a unit, and the dictionaries of their unit and denominator spellings."""
+    units, weights = known_names(doses.sparkSession)
+    df = doses.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("valor"), F.col(f"`{unit}`").alias("unidade"), F.col(f"`{context}`").alias("contexto"))
+    # Written once: the dictionaries and the join read the short spellings, not the texts.
+    said = cut(_mentions(df))
+    unit_alias = alias_dictionary(said.select(F.col("unit_raw").alias("raw")), units).toDF("unit_raw", "dim", "unit_size")
+    den_alias = alias_dictionary(said.select(F.col("den_raw").alias("raw")), weights).toDF("den_raw", "den_kind", "den_size")
+    return said, unit_alias, den_alias
+
+
+def unmatched_spellings(doses: DataFrame, key: str, value: str, unit: str, context: str) -> DataFrame:
+    """(place, spelling, n): the spellings that stand where a unit or a denominator is expected and mean no known one, with the doses that have them.
+    place is `unit` or `denominator`. Words that merely follow the number in a text are among them."""
+    said, unit_alias, den_alias = _resolved(doses, key, value, unit, context)
+    parts = [
+        said.where(F.length(c) > 0).join(alias, c, "left_anti").select("key", F.lit(place).alias("place"), F.col(c).alias("spelling"))
+        for place, c, alias in (("unit", "unit_raw", unit_alias), ("denominator", "den_raw", den_alias))
+    ]
+    return parts[0].unionByName(parts[1]).distinct().groupBy("place", "spelling").agg(F.count("*").alias("n"))
+
+
 def per_kilogram(doses: DataFrame, key: str, value: str, unit: str, context: str) -> DataFrame:
     """(key, dim, lo, hi): every amount with a known unit, in base units per kg, rounded half up.
 
     The unit and the denominator are taken from the value itself, else from the unit
     field, else from the place in the context where the same number stands.
     """
-    spark = doses.sparkSession
-    units, weights = known_names(spark)
-    df = doses.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("valor"), F.col(f"`{unit}`").alias("unidade"), F.col(f"`{context}`").alias("contexto"))
-    said = _mentions(df)
-    unit_alias = alias_dictionary(said.select(F.col("unit_raw").alias("raw")), units).toDF("unit_raw", "dim", "unit_size")
-    den_alias = alias_dictionary(said.select(F.col("den_raw").alias("raw")), weights).toDF("den_raw", "den_kind", "den_size")
+    said, unit_alias, den_alias = _resolved(doses, key, value, unit, context)
     mapped = said.join(unit_alias, "unit_raw", "left").join(den_alias, "den_raw", "left")
     den = F.when(F.length("den_raw") > 0, F.struct(F.col("den_size").alias("size"), F.coalesce(number(F.col("den_qty")), F.lit(1.0)).alias("qty")))
     # In the context a weight after the unit counts most, then a bare unit, then another denominator.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bulaforge.operators.packed_fields import explode_packed
-from bulaforge.operators.units import per_kilogram
+from bulaforge.operators.units import per_kilogram, unmatched_spellings
 from bulaforge.sources.tables import once_per_key, table
 
 
@@ -30,4 +30,9 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return per_kilogram(table(spark, base, "doses", ["dose_id", "valor", "unidade", "contexto"]), "dose_id", "valor", "unidade", "contexto")
 
 
-QUERIES = {"p1_found": p1_found, "p1_value_counts": p1_value_counts, "p6_found": p6_found}
+def p6_unmatched(spark: SparkSession, base: str) -> DataFrame:
+    """The spellings at a unit's place that mean no known unit, with how many doses have them."""
+    return unmatched_spellings(table(spark, base, "doses", ["dose_id", "valor", "unidade", "contexto"]), "dose_id", "valor", "unidade", "contexto")
+
+
+QUERIES = {"p1_found": p1_found, "p1_value_counts": p1_value_counts, "p6_found": p6_found, "p6_unmatched": p6_unmatched}

@@ -1,6 +1,6 @@
 import pytest
 
-from bulaforge.operators.units import alias_dictionary, known_names, per_kilogram, weighted_distance
+from bulaforge.operators.units import alias_dictionary, known_names, per_kilogram, unmatched_spellings, weighted_distance
 
 
 def run(spark, rows):
@@ -38,6 +38,15 @@ def test_distance(a, b, d):
 
 def test_dictionary_leaves_what_is_far_or_ambiguous(spark):
     units, _ = known_names(spark)
-    raw = spark.createDataFrame([("microgrmas",), ("miligramass",), ("gotas",), ("mh",), ("",)], "raw string")
+    raw = spark.createDataFrame([("microgrmas",), ("miligramass",), ("gotas",), ("mh",), ("",), ("mmg",), ("lm",), ("uu",), ("em",)], "raw string")
     got = {r["raw"]: (r["dim"], r["size"]) for r in alias_dictionary(raw, units).collect()}
-    assert got == {"microgrmas": ("mass", 1.0), "miligramass": ("mass", 1000.0)}
+    assert got == {"microgrmas": ("mass", 1.0), "miligramass": ("mass", 1000.0), "mmg": ("mass", 1000.0), "lm": ("volume", 1000.0)}
+
+
+def test_unmatched_spellings_are_reported(spark):
+    df = spark.createDataFrame([(1, "5", "gotas", None), (2, "5", "gotas", None), (3, "5", "mg/animal", ""), (4, "5 mg/kg", None, None)], "id bigint, v string, u string, c string")
+    assert {tuple(r) for r in unmatched_spellings(df, "id", "v", "u", "c").collect()} == {("unit", "gotas", 2), ("denominator", "animal", 1)}
+
+
+def test_digits_of_the_amount_in_the_denominator(spark):
+    assert run(spark, [("10", "mg", "dose de 10 mg/10 kg"), ("1", "ug", "usar 1 ug/100 g"), ("1", "mg", "11 mg/g, 1 mg/g")]) == {0: ("mass", 1000, 1000), 1: ("mass", 10, 10), 2: ("mass", 1_000_000, 1_000_000)}
