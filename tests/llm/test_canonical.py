@@ -29,6 +29,20 @@ def distance(a, b):
     return row[-1]
 
 
+def within(v, n):
+    letters = iter(n)
+    return all(c in letters for c in v)
+
+
+def test_skeletons_mean_the_entry_written_most_often(spark):
+    entries = [("f", 1, "capsulas", "capsulas"), ("f", 2, "comprimidos", "comprimidos"), ("f", 3, "sabonete", "sabonete")]
+    table = spark.createDataFrame(entries, "kind string, ord int, name string, canonical string")
+    for often, want in (("comprimidos", "comprimidos"), ("capsulas", "capsulas")):
+        vals = [("f", often)] * 3 + [("f", x) for x in ("capsulas", "comprimidos", "cp", "CPS.", "sxq")]
+        got = {r["val"]: r["canonical"] for r in map_values(spark.createDataFrame(vals, "kind string, val string"), table).collect()}
+        assert (got["cp"], got["CPS."], got["sxq"]) == (want, want, "UNMATCHED")
+
+
 def test_pigeonhole_finds_every_value_within_its_edits(spark):
     rng = random.Random(8)
     names = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([3, 4, 6, 8, 9, 12, 15]))) for _ in range(12)]
@@ -47,8 +61,9 @@ def test_pigeonhole_finds_every_value_within_its_edits(spark):
     for v in values:
         if not any(n.startswith(v) for n in names):
             best = min(((distance(v, n), n) for n in names if distance(v, n) <= allowed(len(n))), default=None)
-            assert (got[v] == "UNMATCHED") == (best is None)
-            assert best is None or distance(v, got[v]) == best[0]
+            skeletons = [n for n in names if not set(v) & set("aeiou") and len(v) > 1 and n[0] == v[0] and within(v, n)]
+            assert (got[v] == "UNMATCHED") == (best is None and not skeletons)
+            assert distance(v, got[v]) == best[0] if best else got[v] == "UNMATCHED" or got[v] in skeletons
 
 
 def test_empty(spark):
