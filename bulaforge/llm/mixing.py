@@ -135,23 +135,20 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: list[Target]
     texts = cut(texts.withColumn("place", F.xxhash64(F.lit(seed), "th")))
     cell_bits = max(6, (texts.count() // ROWS_PER_CELL).bit_length())
     texts = texts.withColumn("cell", F.shiftright("place", 64 - cell_bits).cast("int"))
-    sums = texts.groupBy("mask", "cell").agg(F.sum("n").alias("n")).collect()  # patterns × cells rows
-    patterns: dict[int, int] = {}
-    offset: list[tuple[int, int, int]] = []
-    for r in sorted(sums, key=lambda r: (r["mask"], r["cell"])):
-        offset.append((r["mask"], r["cell"], patterns.get(r["mask"], 0)))
-        patterns[r["mask"]] = patterns.get(r["mask"], 0) + r["n"]
+    sums = texts.groupBy("mask", "cell").agg(F.sum("n").alias("n"))
+    patterns = {r["mask"]: r["n"] for r in sums.groupBy("mask").agg(F.sum("n").alias("n")).collect()}  # one row a pattern: at most 2**MAX_SOURCES
+    before = F.sum("n").over(Window.partitionBy("mask").orderBy("cell")) - F.col("n")
+    start = sums.select("mask", "cell", before.alias("start"))
     goal = largest_total(patterns, targets, total if total is not None else sum(patterns.values()))
     flows = route(patterns, targets, goal) or {}
     stretches, at = [], dict.fromkeys(patterns, 0)
     for (m, k), f in sorted(flows.items()):
         stretches.append((m, 1 << k, targets[k].source, at[m], at[m] + f, patterns[m]))
         at[m] += f
-    start = spark.createDataFrame(offset or [(0, 0, 0)], "mask bigint, cell int, start bigint")
     runs = spark.createDataFrame(stretches or [(0, 0, "", 0, 0, 1)], "mask bigint, bit bigint, source string, low bigint, high bigint, around bigint")
     order = Window.partitionBy("mask", "cell").orderBy("place", "th")
     within = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    lined = texts.withColumn("within", within).join(F.broadcast(start), ["mask", "cell"]).withColumn("at", F.col("start") + F.col("within"))
+    lined = texts.withColumn("within", within).join(start, ["mask", "cell"]).withColumn("at", F.col("start") + F.col("within"))
     # Windings of the line at whose place `at` the stretch lies: k with low <= at + k*around < high.
     first = F.greatest(F.lit(0), F.ceil((F.col("low") - F.col("at")) / F.col("around")))
     last = F.ceil((F.col("high") - F.col("at")) / F.col("around")) - 1

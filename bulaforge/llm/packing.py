@@ -4,9 +4,10 @@ Only the histogram of lengths is planned: shallow combinations of lengths whose
 falls into a narrow window below the capacity are enumerated, their repeat counts are
 solved as non-negative least squares against the histogram, rounded within what is
 there, and the residual lengths are packed greedily, largest first, many containers at
-a time. The plan has at most MAX_PATTERNS combinations and one greedy step per distinct
-length, however many items there are. Items are then numbered within their length
-(salted, so that one length may hold any share of them) and looked up in the plan.
+a time. The plan has some COMBINATIONS combinations, or 8 per distinct length, and one
+greedy step per distinct length, however many items there are; only the histogram reaches
+the driver. Items are then numbered within their length, in as many cells as their number
+asks for, so that one length may hold any share of them, and looked up in the plan.
 
 An item is split only if it alone exceeds the capacity. Defined results: null and blank
 texts are not placed; repeated rows are placed once per key; empty input gives no rows.
@@ -24,22 +25,25 @@ from pyspark.sql import functions as F
 
 from bulaforge.session import cut
 
-MAX_PATTERNS = 12_000
-#: Combinations must fill the capacity up to this many units.
-WINDOW = 6
+COMBINATIONS = 12_000
+#: Combinations must fill the capacity up to this share of it.
+WINDOW_SHARE = 0.003
 SWEEPS = 40
-SALTS = 64
+#: Items of one length that one task numbers, if the length holds all items.
+ROWS_PER_CELL = 50_000
 
 
 @dataclass(frozen=True)
 class Pattern:
     lengths: tuple[tuple[int, int], ...]  # (length, times in one container)
     containers: int
+    solved: bool = False
 
 
 def _combinations(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
     """Shallow combinations with sums in the window: the closest fits of one, two and three lengths."""
     have = set(lengths.tolist())
+    least = capacity - int(capacity * WINDOW_SHARE)
     ordered = np.sort(lengths)
     out: dict[tuple[int, ...], None] = {}
 
@@ -47,23 +51,23 @@ def _combinations(lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
         k = int(np.searchsorted(ordered, limit, side="right"))
         return [int(x) for x in ordered[max(0, k - count) : k]]
 
-    each = max(1, MAX_PATTERNS // max(1, 4 * len(ordered)))
+    each = max(1, COMBINATIONS // max(1, 8 * len(ordered)))
     for a in map(int, ordered[::-1]):
-        if capacity - WINDOW <= a <= capacity:
+        if least <= a <= capacity:
             out[(a,)] = None
         for b in below(capacity - a, each):
-            if a >= b and a + b >= capacity - WINDOW:
+            if a >= b and a + b >= least:
                 out[(a, b)] = None
         # Three: a long one, a middle one spread over the range, the closest third.
         rest = capacity - a
         for b in {below(rest * s // 8, 1)[0] for s in range(1, 8) if below(rest * s // 8, 1)}:
             for c in below(rest - b, each):
-                if a + b + c >= capacity - WINDOW:
+                if a + b + c >= least:
                     out[tuple(sorted((a, b, c), reverse=True))] = None
     for times in range(2, 9):
         if capacity // times in have:
             out[(capacity // times,) * times] = None
-    return list(out)[:MAX_PATTERNS]
+    return list(out)
 
 
 def _nnls(columns: list[list[tuple[int, int]]], target: np.ndarray) -> np.ndarray:
@@ -104,7 +108,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Pattern]:
                 break
             n = min([round(float(x[j])), *[left.get(k, 0) // v for k, v in combos[j]]])
             if n > 0:
-                out.append(Pattern(combos[j], n))
+                out.append(Pattern(combos[j], n, solved=True))
                 for k, v in combos[j]:
                     left[k] -= v * n
     # Residuals: best fit decreasing, as many equal containers at a time as the counts allow.
@@ -149,33 +153,30 @@ def _ranges(patterns: list[Pattern]) -> tuple[np.ndarray, ...]:
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces(id, piece_no, n_tokens, …) of 1..capacity units → the same with container_id."""
+    """pieces(id, piece_no, n_tokens, …) of 1..capacity units → the same with container_id and planned (the container is one of those solved for)."""
     # One row per piece of a key; the numbers below must be taken over what is written here.
-    items = cut(pieces.where("n_tokens > 0").dropDuplicates(["id", "piece_no"]).withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(SALTS))))
-    counts = items.groupBy("n_tokens", "salt").count().collect()  # at most capacity × SALTS rows
-    histogram: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r["n_tokens"], r["salt"])):
-        offset[(r["n_tokens"], r["salt"])] = histogram.get(r["n_tokens"], 0)
-        histogram[r["n_tokens"]] = histogram.get(r["n_tokens"], 0) + r["count"]
-    key, times, base, begin = _ranges(plan(histogram, capacity))
-    first = np.zeros((capacity + 1, SALTS), np.int64)
-    for (n, s), o in offset.items():
-        first[n, s] = o
-    known = items.sparkSession.sparkContext.broadcast((key, times, base, begin, first))
-    numbered = items.withColumn("nth", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("id", "piece_no")) - 1)
-    names = [c for c in items.columns if c != "salt"]
-    kept = [numbered.columns.index(c) for c in names]
-    i_n, i_salt, i_nth = (numbered.columns.index(c) for c in ("n_tokens", "salt", "nth"))
+    items = cut(pieces.where("n_tokens > 0").dropDuplicates(["id", "piece_no"]))
+    cells = 1 << max(6, (items.count() // ROWS_PER_CELL).bit_length())
+    items = items.withColumn("_cell", F.pmod(F.xxhash64("id", "piece_no"), F.lit(cells)))
+    counts = items.groupBy("n_tokens", "_cell").agg(F.count("*").alias("_count"))
+    histogram = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("_count").alias("n")).collect()}  # at most `capacity` rows
+    patterns = plan(histogram, capacity)
+    solved = sum(p.containers for p in patterns if p.solved)
+    known = items.sparkSession.sparkContext.broadcast(_ranges(patterns))
+    before = F.sum("_count").over(Window.partitionBy("n_tokens").orderBy("_cell")) - F.col("_count")
+    nth = F.row_number().over(Window.partitionBy("n_tokens", "_cell").orderBy("id", "piece_no")) - 1
+    first = counts.select("n_tokens", "_cell", before.alias("_first"))
+    names = [c for c in items.columns if c != "_cell"]
+    numbered = items.withColumn("_nth", nth).join(first, ["n_tokens", "_cell"]).select(*names, (F.col("_first") + F.col("_nth")).cast("bigint").alias("_ordinal"))
+    i_n = names.index("n_tokens")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, times, base, begin, first = known.value
+        key, times, base, begin = known.value
         for batch in batches:
-            n, salt, nth = (batch.column(i).to_numpy().astype(np.int64) for i in (i_n, i_salt, i_nth))
-            ordinal = first[n, salt] + nth
+            n, ordinal = batch.column(i_n).to_numpy().astype(np.int64), batch.column(len(names)).to_numpy().astype(np.int64)
             k = np.searchsorted(key, (n << 40) | ordinal, side="right") - 1
             container = base[k] + (ordinal - begin[k]) // times[k]
-            yield pa.RecordBatch.from_arrays([pa.array(container), *[batch.column(i) for i in kept]], names=["container_id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(container), pa.array(container < solved), *[batch.column(i) for i in range(len(names))]], names=["container_id", "planned", *names])
 
-    schema = "container_id bigint, " + ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in names)
+    schema = "container_id bigint, planned boolean, " + ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in names)
     return numbered.mapInArrow(place, schema)

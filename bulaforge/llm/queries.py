@@ -130,11 +130,12 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, base: str) -> DataFrame:
-    """Containers, tokens, unused share and the fewest containers that could hold the tokens."""
-    held = p8_containers(spark, base).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    """Containers, tokens, unused share, the fewest containers that could hold the tokens, and the share of containers the least squares gave."""
+    held = p8_containers(spark, base).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("planned").cast("int")).alias("planned"))
     return held.agg(
         F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"),
         (1 - F.sum("n") / (F.count("*") * F.lit(CAPACITY))).alias("unused_share"), F.ceil(F.sum("n") / F.lit(CAPACITY)).alias("bound"),
+        F.avg("planned").alias("solved_share"),
     )
 
 

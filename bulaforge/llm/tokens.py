@@ -7,6 +7,7 @@ pattern are parameters, and the file is read on each Python worker.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,17 +40,20 @@ class Tokenizer:
         return _ENCODINGS[self.path]
 
 
-#: Texts are tokenised in parts cut at line breaks or blanks, so that no call sees more than this.
+#: Texts are tokenised in parts of about so many characters. A part ends before a single blank between two words, where every token ends too, so that
+#: the tokens are those of the whole text; a stretch without such a blank is one part.
 PART_CHARS = 100_000
+_BETWEEN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 
 
 def _parts(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > PART_CHARS:
-        cut = max(text.rfind("\n", at + 1, at + PART_CHARS), text.rfind(" ", at + 1, at + PART_CHARS))
-        cut = cut if cut > at else at + PART_CHARS
-        yield text[at:cut]
-        at = cut
+        blank = _BETWEEN.search(text, at + PART_CHARS)
+        if not blank:
+            break
+        yield text[at : blank.start()]
+        at = blank.start()
     yield text[at:]
 
 

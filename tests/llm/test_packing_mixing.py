@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from bulaforge.llm import packing, tokens
 from bulaforge.llm.mixing import Target, largest_total, mix, route, shares
 from bulaforge.llm.packing import pack, plan
 from bulaforge.llm.tokens import Tokenizer, encode, pieces_of, token_pieces
@@ -25,6 +26,32 @@ def test_plan_places_everything_within_capacity(seed):
         plan({capacity + 1: 1}, capacity)
 
 
+def test_least_squares_beat_greedy_packing():
+    """Greedy packing puts 4 + 4 and 3 + 3 + 3 together: 300 + 400 containers of 10 instead of 600 of 4 + 3 + 3."""
+    made = plan({4: 600, 3: 1200}, 10)
+    assert sum(p.containers for p in made) == 600 and all(p.solved for p in made)
+
+
+def test_one_length_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_CELL", 2)
+    got = pack(spark.range(1000).selectExpr("id", "0 AS piece_no", "CAST(if(id % 3 = 0, 7, 3) AS INT) AS n_tokens"), 10).collect()
+    held: dict[int, int] = {}
+    for r in got:
+        held[r["container_id"]] = held.get(r["container_id"], 0) + r["n_tokens"]
+    assert len(got) == 1000 and max(held.values()) <= 10 and sorted(held) == list(range(len(held))) and len(held) == 334 + 111
+
+
+def test_tokens_of_parts_are_those_of_the_whole(monkeypatch):
+    t = Tokenizer.public()
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choice(["palavra", " ", "  ", "\n", "ção", "12", ",", ".", "😀", "\t", "a b", "x-y"]) for _ in range(400))
+        whole = encode(text, t)
+        monkeypatch.setattr(tokens, "PART_CHARS", rng.choice([1, 7, 50]))
+        assert encode(text, t) == whole
+        monkeypatch.undo()
+
+
 def test_containers(spark):
     rows = [(i, 0, 1 + i * 7 % 50) for i in range(400)] + [(1000 + i, 0, 33) for i in range(300)] + [(0, 0, 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id bigint, piece_no int, n_tokens int, salt_note string")
