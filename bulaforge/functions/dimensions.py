@@ -8,18 +8,17 @@ from __future__ import annotations
 
 # Canonical species and their synonyms, in order of precedence.
 SPECIES = [
-    ("suínos", "suíno suino suínos suinos porco porcos leitão leitões porcino"),
-    ("bovinos", "bovino bovinos vaca vacas novilho novilhos touro touros bezerro bezerros gado"),
-    ("equinos", "cavalo cavalos égua éguas egua eguas potro potros equino equinos"),
-    ("cães", "cão cao cães caes cachorro cachorros cadela cadelas canino caninos"),
-    ("gatos", "gato gatos gata gatas felino felinos gatinho gatinhos"),
-    ("ovinos", "ovino ovinos ovelha ovelhas carneiro carneiros borrego borregos cordeiro cordeiros"),
-    ("caprinos", "caprino caprinos cabra cabras bode bodes"),
-    ("aves", "ave aves galinha galinhas frango frangos"),
-    ("perus", "peru perus"),
-    ("coelhos", "coelho coelhos coelha coelhas leporídeo leporídeos leporideo leporideos"),
+    ("suínos", ["suíno", "suino", "suínos", "suinos", "porco", "porcos", "leitão", "leitões", "porcino"]),
+    ("bovinos", ["bovino", "bovinos", "vaca", "vacas", "novilho", "novilhos", "touro", "touros", "bezerro", "bezerros", "gado"]),
+    ("equinos", ["cavalo", "cavalos", "égua", "éguas", "egua", "eguas", "potro", "potros", "equino", "equinos"]),
+    ("cães", ["cão", "cao", "cães", "caes", "cachorro", "cachorros", "cadela", "cadelas", "canino", "caninos"]),
+    ("gatos", ["gato", "gatos", "gata", "gatas", "felino", "felinos", "gatinho", "gatinhos"]),
+    ("ovinos", ["ovino", "ovinos", "ovelha", "ovelhas", "carneiro", "carneiros", "borrego", "borregos", "cordeiro", "cordeiros"]),
+    ("caprinos", ["caprino", "caprinos", "cabra", "cabras", "bode", "bodes"]),
+    ("aves", ["ave", "aves", "galinha", "galinhas", "frango", "frangos"]),
+    ("perus", ["peru", "perus"]),
+    ("coelhos", ["coelho", "coelhos", "coelha", "coelhas", "leporídeo", "leporídeos", "leporideo", "leporideos"]),
 ]
-SPECIES = [(canonical, words.split()) for canonical, words in SPECIES]
 
 # Topic, keywords, target section numbers; the first topic with a keyword wins.
 TOPICS = [
@@ -44,7 +43,7 @@ TOPIC_WORDS = {
     "especies": ["espécies", "alvo"], "composicao": ["composição"], "indicacao": ["indicação", "indicações"],
     "contraindicacoes": ["contra-indicação", "contraindicação"], "reacoes": ["reações", "efeitos"], "intervalos": ["intervalo", "espera", "carência"],
 }
-FORMS = "comprimidos comprimido injetável injetavel solução solucao pó po pomada creme spray gotas".split()
+FORMS = ["comprimidos", "comprimido", "injetável", "injetavel", "solução", "solucao", "pó", "po", "pomada", "creme", "spray", "gotas"]
 
 # Phrases that mark a comparison, and phrases about one product.
 COMPARISON = [
@@ -61,12 +60,8 @@ VAGUE = [
     "consulte a bula", "informação não encontrada",
 ]
 SPECIFIC_UNITS = ["mg", "ml", "kg", "°c", "graus", "dias", "horas"]
-SHORT_FOLLOW_UP = (
-    "e para em gatos cães suínos bovinos equinos peru perus aves coelhos dose dosagem armazenamento composição indicação efeitos"
-).split()
-NOT_A_PRODUCT = (
-    "para com que qual como quais onde quando espécie espécies animal animais medicamento medicamentos dose dosagem porque porquê"
-).split()
+SHORT_FOLLOW_UP = ["e", "para", "em", "gatos", "cães", "suínos", "bovinos", "equinos", "peru", "perus", "aves", "coelhos", "dose", "dosagem", "armazenamento", "composição", "indicação", "efeitos"]
+NOT_A_PRODUCT = ["para", "com", "que", "qual", "como", "quais", "onde", "quando", "espécie", "espécies", "animal", "animais", "medicamento", "medicamentos", "dose", "dosagem", "porque", "porquê"]
 # Opening of a rewritten question by topic.
 FOLLOW_UP_OPENING = {
     "dose": "Qual a dose do ", "armazenamento": "Como armazenar o ", "composicao": "Qual a composição do ", "indicacao": "Para que serve o ",
@@ -75,11 +70,9 @@ FOLLOW_UP_OPENING = {
 }
 # Frequent words by language, in order of precedence, and hints of Portuguese.
 LANGUAGE_WORDS = [
-    ("ingles", "the this that these those and with for according document information dose administration storage species indicated should must following please refer consult".split()),
-    ("espanhol", "el la los las según información está debe puede siguiente".split()),
-    ("frances", "le les selon avec dans pour sur doit peut".split()),
-    ("alemao", "der die das und mit nach für von auf sind".split()),
+    ("ingles", ["the", "this", "that", "these", "those", "and", "with", "for", "according", "document", "information", "dose", "administration", "storage", "species", "indicated", "should", "must", "following", "please", "refer", "consult"]),
+    ("espanhol", ["el", "la", "los", "las", "según", "información", "está", "debe", "puede", "siguiente"]),
+    ("frances", ["le", "les", "selon", "avec", "dans", "pour", "sur", "doit", "peut"]),
+    ("alemao", ["der", "die", "das", "und", "mit", "nach", "für", "von", "auf", "sind"]),
 ]
-PORTUGUESE_HINTS = (
-    "o a os as de do da dos das em para com por que não é são está segundo medicamento dose espécie espécies armazenamento indicação deve"
-).split()
+PORTUGUESE_HINTS = ["o", "a", "os", "as", "de", "do", "da", "dos", "das", "em", "para", "com", "por", "que", "não", "é", "são", "está", "segundo", "medicamento", "dose", "espécie", "espécies", "armazenamento", "indicação", "deve"]

@@ -120,17 +120,42 @@ def alternative_kind(text: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(mark)), F.lit(kind)) for mark, kind in kinds], F.lit("mesmo princípio ativo"))
 
 
+_PLACE = r"(?iU)\b(?:em|para)\s+(?:suínos|bovinos|equinos|cães|gatos|aves|perus?|coelhos|ovinos|caprinos)\b"
+SHORT_TURN = 5
+
+
+def _opening(now: Column) -> Column:
+    """Beginning of a question on a topic; null for the general one."""
+    known = [F.when(now == t, F.lit(o)) for t, o in D.FOLLOW_UP_OPENING.items()]
+    return F.when(now != D.GENERAL, F.coalesce(*known, F.lit("Informação sobre ")))
+
+
+def around_place(query: Column) -> tuple[Column, Column]:
+    """What stands before and after the place of a species in a question; without one its end, where a species may be added."""
+    named = query.rlike(_PLACE)
+    head = F.when(named, F.regexp_extract(query, rf"(?s)^(.*?){_PLACE}", 1)).otherwise(F.concat(F.regexp_replace(query, r"\?+$", ""), F.lit(" ")))
+    return head, F.when(named, F.regexp_extract(query, rf"(?s)^.*?{_PLACE}(.*)$", 1)).otherwise("?")
+
+
+def turn_features(text: Column) -> Column:
+    """STRUCT of what a turn says by itself: all that a conversation needs to be carried on."""
+    said = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    head, tail = around_place(text)
+    return F.struct(
+        F.when(F.trim(text) != "", text).alias("said"), head.alias("head"), tail.alias("tail"), product(text).alias("product"), find_species(text).alias("species"),
+        topic(text).alias("topic"), _opening(topic(text)).alias("opening"), (F.size(said) <= SHORT_TURN).alias("brief"),
+        F.arrays_overlap(said, F.array(*[F.lit(w) for w in D.SHORT_FOLLOW_UP])).alias("cue"),
+    )
+
+
 def follow_up(query: Column, last_query: Column, last_product: Column, last_topic: Column) -> Column:
     """The full question a short follow-up stands for; null if it is none."""
     said = F.filter(F.split(F.lower(query), r"\s+"), lambda w: w != "")
     species, now = find_species(query), topic(query)
     changed = (now != D.GENERAL) & ~now.eqNullSafe(last_topic)
-    short = (F.size(said) <= 5) & (F.coalesce(last_query, F.lit("")) != "") & (F.coalesce(last_product, F.lit("")) != "")
+    short = (F.size(said) <= SHORT_TURN) & (F.coalesce(last_query, F.lit("")) != "") & (F.coalesce(last_product, F.lit("")) != "")
     marked = species.isNotNull() | changed | F.arrays_overlap(said, F.array(*[F.lit(w) for w in D.SHORT_FOLLOW_UP]))
-    opening = F.coalesce(*[F.when(now == t, F.lit(o)) for t, o in D.FOLLOW_UP_OPENING.items()], F.lit("Informação sobre "))
-    about = F.concat(opening, last_product, F.coalesce(F.concat(F.lit(" para "), species), F.lit("")), F.lit("?"))
-    place = r"(?iU)\b(?:em|para)\s+(?:suínos|bovinos|equinos|cães|gatos|aves|perus?|coelhos|ovinos|caprinos)\b"
-    before, after = F.regexp_extract(last_query, rf"(?s)^(.*?){place}", 1), F.regexp_extract(last_query, rf"(?s)^.*?{place}(.*)$", 1)
-    swapped = F.when(last_query.rlike(place), F.concat(before, F.lit("para "), species, after)).otherwise(F.concat(F.regexp_replace(last_query, r"\?+$", ""), F.lit(" para "), species, F.lit("?")))
-    rewritten = F.when(now != D.GENERAL, about).when(species.isNotNull(), swapped).otherwise(last_query)
+    about = F.concat(_opening(now), last_product, F.coalesce(F.concat(F.lit(" para "), species), F.lit("")), F.lit("?"))
+    head, tail = around_place(last_query)
+    rewritten = F.when(now != D.GENERAL, about).when(species.isNotNull(), F.concat(head, F.lit("para "), species, tail)).otherwise(last_query)
     return F.when(short & marked, rewritten)

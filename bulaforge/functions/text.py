@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 ACCENTED = "áàâãäåāăąéèêëēĕėęěíìîïīĭįóòôõöōŏőúùûüūŭůűçćĉċčñńņňýÿšśŝşžźżğģ"
 PLAIN = "aaaaaaaaaeeeeeeeeeiiiiiiioooooooouuuuuuuucccccnnnnyysssszzzgg"
-#: The stop words that can still occur after folding and the length rule.
-STOP_WORDS = "para com por que das dos nos nas uma aos mas como sao".split()
-#: Of those, "sao" is what folding makes of an accented stop word; it isn't dropped.
-DROPPED = [w for w in STOP_WORDS if w != "sao"]
+# Stop words and the least length of a token.
+STOP_WORDS = [
+    "a", "o", "as", "os", "de", "da", "do", "das", "dos", "em", "para", "com", "por", "que", "é", "são", "no", "na", "nos", "nas", "um",
+    "uma", "se", "ao", "à", "às", "aos", "ou", "e", "mas", "como",
+]
 MIN_TOKEN = 3
+#: Those that a folded token of that length can equal.
+DROPPED = [w for w in STOP_WORDS if w.isascii() and len(w) >= MIN_TOKEN]
 
 
 def fold(text: Column) -> Column:

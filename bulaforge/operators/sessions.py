@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,15 +38,21 @@ def longest_gap_history(events: DataFrame, user: str, ts: str, tie: str) -> Data
     return s.groupBy(user).agg(F.count("*").alias("sessions"), F.sum("n").alias("events"), F.max("n").alias("longest_session"))
 
 
-def fold_turns(turns: DataFrame, session: str, schema: str, step) -> DataFrame:
-    """Rows of each session in order through `step(state, row) -> (state, out)`; for chained state only, where lag can't serve.
-    One session is one group; sessions are bounded by what one user types."""
+def fold_in_order(turns: DataFrame, session: str, order: list[str], begin, step, schema: str) -> DataFrame:
+    """The turns of each session in order through `step(state, row) -> (state, out row)` from the state `begin`; for chained state only, where lag can't serve.
+
+    Rows stream past sorted by session, so a session of any length costs one state and no group in memory."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = {}, []
-        for row in pdf.sort_values("seq").to_dict("records"):
-            state, made = step(state, row)
-            out.append(made)
-        return pd.DataFrame(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, begin
+        for pdf in batches:
+            out = []
+            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                if row[session] != current:
+                    current, state = row[session], begin
+                state, made = step(state, row)
+                out.append(made)
+            yield pd.DataFrame(out, columns=names)
 
-    return turns.groupBy(session).applyInPandas(run, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return turns.repartition(session).sortWithinPartitions(session, *order).mapInPandas(run, schema)

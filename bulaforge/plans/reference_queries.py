@@ -22,6 +22,7 @@ from bulaforge.sources import html, sinks
 from bulaforge.sources.questions import questions as question_lines
 from bulaforge.sources.tables import once_per_key, table
 from bulaforge.streaming import sessions as streaming
+from bulaforge.streaming.turns import Standing, follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -383,6 +384,18 @@ def followup_rewrite(s: SparkSession, b: str) -> DataFrame:
     return q.select("session_id", "seq", "qid", E.follow_up(F.col("query"), F.col("last_query"), F.col("last_product"), F.col("last_topic")).alias("rewritten"))
 
 
+@query()
+def followup_chained(s: SparkSession, b: str) -> DataFrame:
+    """Every turn with the question it stands for, each read against what the turn before stood for; the stream's fold over a stored table."""
+    q = _questions(s, b).where("session_id IS NOT NULL AND text IS NOT NULL").select("session_id", "seq", "qid", E.turn_features(F.col("text")).alias("f")).select("session_id", "seq", "qid", "f.*")
+
+    def step(state: Standing, turn: dict) -> tuple:
+        state, made = follow(state, turn)
+        return state, (turn["session_id"], turn["seq"], turn["qid"], made, state.product)
+
+    return sessions.fold_in_order(q, "session_id", ["seq", "qid"], Standing(), step, "session_id string, seq int, qid bigint, rewritten string, about string")
+
+
 @query(r"SELECT qid, trim(text) AS text FROM (SELECT DISTINCT qid, text FROM questions) WHERE ends_with(trim(text),'?') AND NOT regexp_matches(trim(text), '^(\||#|//|--)')")
 def question_filter(s: SparkSession, b: str) -> DataFrame:
     """Lines that are questions under the strict rule."""
@@ -408,13 +421,24 @@ def dose_context(s: SparkSession, b: str) -> DataFrame:
     return doses.extract(_answers(s, b), ["answer_id"], ["answered_at"], "response")
 
 
-@query(rf"""WITH a AS (SELECT DISTINCT answer_id, response, answer_id%2 AS half FROM answers), m AS (SELECT answer_id, half, unnest(regexp_extract_all(coalesce(response,''), '(?i){_DOSE_RE}')) AS m FROM a),
-d AS (SELECT DISTINCT answer_id, half, replace(regexp_extract(m,'^(\d+[.,]?\d*)',1),',','.')||' '||replace(lower(regexp_extract(m,'(?i)(mg|mcg|µg|ml)\s*/',1)),'µg','mcg')||'/kg' AS dose FROM m)
-SELECT answer_id, dose FROM d WHERE half=1 AND dose NOT IN (SELECT dose FROM d WHERE half=0)""")
+_ALLOWED_RE = r"(\d+[.,]?\d*)\s*(mg|mcg|µg|ug|ml|g)\s*/\s*(kg|quilograma)"
+_NORM = f"replace(regexp_extract(m,'(?i){_ALLOWED_RE}',1),',','.')||' '||replace(replace(lower(regexp_extract(m,'(?i){_ALLOWED_RE}',2)),'µg','mcg'),'ug','mcg')||'/'||lower(regexp_extract(m,'(?i){_ALLOWED_RE}',3))"
+
+
+@query(rf"""WITH l AS (SELECT DISTINCT lower(product) AS p, {_NORM} AS dose FROM (SELECT product, unnest(regexp_extract_all(coalesce(display,''), '(?i){_ALLOWED_RE}')) AS m FROM doses JOIN documents USING (doc_id) WHERE product IS NOT NULL)),
+a AS (SELECT DISTINCT answer_id, qid, response FROM answers), e AS (SELECT DISTINCT qid, lower(trim(product)) AS p FROM entities WHERE product IS NOT NULL),
+d AS (SELECT answer_id, p, {_NORM} AS dose FROM (SELECT answer_id, p, unnest(regexp_extract_all(coalesce(response,''), '(?i){_ALLOWED_RE}')) AS m FROM a JOIN e USING (qid)))
+SELECT DISTINCT answer_id, dose FROM d WHERE p IN (SELECT p FROM l) AND NOT EXISTS (SELECT 1 FROM l WHERE l.p = d.p AND split_part(l.dose,' ',1) = split_part(d.dose,' ',1))""")
 def dose_validate(s: SparkSession, b: str) -> DataFrame:
-    """Doses that one half of the answers mentions and the other half doesn't: an anti-join against an allow-list."""
-    found = doses.extract(_answers(s, b), ["answer_id"], ["answered_at"], "response").select("answer_id", F.col("display").alias("dose"))
-    return found.where("answer_id % 2 = 1").join(found.where("answer_id % 2 = 0").select("dose").distinct(), "dose", "left_anti").select("answer_id", "dose")
+    """Doses of every answer that the extracted doses of its question's product don't allow; the same number in another unit passes."""
+    docs = table(s, b, "documents", ["doc_id", "product"]).where("product IS NOT NULL")
+    listed = table(s, b, "doses", ["dose_id", "doc_id", "display"]).dropDuplicates(["dose_id"]).join(docs, "doc_id")
+    # The distinct doses of a product, however many rows state them.
+    each = listed.select(F.lower("product").alias("p"), F.explode(A.doses_in(F.col("display"))).alias("dose")).distinct()
+    allowed = each.groupBy("p").agg(F.collect_list("dose").alias("allowed"))
+    asked = table(s, b, "entities", ["qid", "product"]).where("product IS NOT NULL").select("qid", F.lower(F.trim("product")).alias("p")).distinct()
+    said = _answers(s, b).select("answer_id", "qid", "response").join(asked, "qid").join(allowed, "p")
+    return said.select("answer_id", F.explode(A.invalid_doses(F.col("response"), F.col("allowed"))).alias("dose")).distinct()
 
 
 _VAGUE_SQL = "(" + "+".join(f"contains(lower(response),'{v}')::INT" for v in D.VAGUE) + ")"

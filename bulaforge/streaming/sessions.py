@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from bulaforge.functions.entities import turn_features
+from bulaforge.streaming.turns import Standing, follow
+
 IDLE = "3600 seconds"
 LATE = "1 hour"
 
@@ -34,29 +37,31 @@ def session_windows(events: DataFrame, ts: str, user: str, idle: str = IDLE) ->
     return out.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-STATE = "last_query string, last_product string, last_topic string, seen long"
+STATE = "query string, head string, tail string, product string, topic string, seen int"
 OUT = "session_id string, seq int, query string, rewritten string, is_followup boolean"
 
 
 def chained_follow_ups(turns: DataFrame, idle_seconds: int = 3600) -> DataFrame:
-    """Turns(session_id, seq, text, ts) as a stream → each with its rewritten question.
+    """Turns(session_id, seq, text) as a stream → each with its rewritten question.
 
     The rewritten question becomes the state the next turn is read against, which no lag
-    can express. State idle for longer than `idle_seconds` of processing time is dropped."""
-    from bulaforge.streaming.turns import advance
+    can express; what a turn says by itself is computed in columns before the keyed step.
+    State idle for longer than `idle_seconds` of processing time is dropped."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = dict(zip(("last_query", "last_product", "last_topic", "seen"), state.get)) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values("seq")
+        now = Standing(*state.get) if state.exists else Standing()
+        rows = pd.concat(list(batches)).sort_values("seq").astype(object)
+        rows = rows.where(rows.notna(), None)
         out = []
-        for row in rows.to_dict("records"):
-            now, made = advance(now, row["text"])
-            out.append((key[0], row["seq"], row["text"], made["rewritten"], made["is_followup"]))
-        state.update((now.get("last_query"), now.get("last_product"), now.get("last_topic"), int(now.get("seen") or 0)))
+        for turn in rows.to_dict("records"):
+            now, made = follow(now, turn)
+            out.append((key[0], turn["seq"], turn["text"], made, made is not None))
+        state.update(now.to_row())
         state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame(out, columns=["session_id", "seq", "query", "rewritten", "is_followup"])
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    said = turns.select("session_id", "seq", "text", turn_features(F.col("text")).alias("f")).select("session_id", "seq", "text", "f.*")
+    return said.groupBy("session_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -15,7 +15,7 @@ from bulaforge.sources import html, sinks
 from bulaforge.sources.questions import questions
 from bulaforge.sources.tables import once_per_key
 from bulaforge.streaming import sessions as streaming
-from bulaforge.streaming.turns import advance
+from bulaforge.streaming.turns import Standing, follow
 
 
 def one(spark, expr, **values):
@@ -56,11 +56,18 @@ def test_categories_and_follow_up(spark):
     assert one(spark, f, q="E para gatos?", lq="Qual a dose do Zirovet em cães?", p="Zirovet", tp="dose") == "Qual a dose do Zirovet para gatos?"
     assert one(spark, f, q="e a composição?", lq="Qual a dose do Zirovet?", p="Zirovet", tp="dose") == "Qual a composição do Zirovet?"
     assert one(spark, f, q="E para gatos?", lq=None, p=None, tp=None) is None
-    state, _ = advance({}, "Qual a dose do Zirovet em cães?")
-    state, made = advance(state, "E para gatos?")
-    assert made["rewritten"] == "Qual a dose do Zirovet para gatos?" and state["last_query"] == made["rewritten"]
-    _, made = advance(state, "e a composição?")
-    assert made["rewritten"] == "Qual a composição do Zirovet?"
+    turns = ["Qual a dose do Zirovet em cães?", "E para gatos?", "e a composição?", "  "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(turns)], "i int, t string").select("i", E.turn_features(F.col("t")).alias("f")).orderBy("i").collect()
+    state, made = Standing(), []
+    for r in rows:
+        state, rewritten = follow(state, r["f"].asDict())
+        made.append(rewritten)
+    assert made == [None, "Qual a dose do Zirovet para gatos?", "Qual a composição do Zirovet?", None] and (state.product, state.topic, state.seen) == ("Zirovet", "composicao", 3)
+
+
+def test_stream_and_batch_read_a_named_product_alike(spark):
+    text = "Posso dar o medicamento Zirovet a gatos?"
+    assert one(spark, E.turn_features(F.col("t")), t=text)["product"] == one(spark, E.product(F.col("t")), t=text) == "Zirovet"
 
 
 def test_bm25_ties_repeats_and_empty(spark):

@@ -40,7 +40,8 @@ def test_every_sql_has_a_query():
 
 
 def test_entry_runs(spark, small):
-    assert entry.entry(spark).columns == ["qid", "chunk_id", "rank", "score"]
+    found = entry.entry(spark)
+    assert found.columns == ["qid", "chunk_id", "rank", "score"] and found.count() > 0
 
 
 @pytest.mark.parametrize("name", ["rag_answer", "entity_extract", "intent_rules", "followup_rewrite", "parse_answer", "html_text", "p1_found", "p6_found"])
