@@ -43,7 +43,9 @@ from bulaforge.session import cut
 #: Cells of the rarity sketch as powers of two: the first up to 1 GB of input, then as its square root, the last at 4 TB (16 MB to each executor).
 SKETCH_BITS, MOST_SKETCH_BITS = 18, 24
 SKETCH_PARTS = 16
-BYTES_PER_BUCKET = 4 << 20
+BYTES_PER_BUCKET = 8 << 20
+#: Keys that a task gathers before it packs them by bucket: the more, the fewer rows.
+KEYS_PER_PACK = 1_000_000
 #: Holders of a key that may meet in one bucket; or so many times the mean load of a sketch cell, below which counts tell nothing.
 HOT, HOT_LOADS = 8192, 4
 BATCH_CHARS = 1_000_000
@@ -214,6 +216,17 @@ def _split_hot(at: np.ndarray, key: np.ndarray, blocks: np.ndarray, owner: np.nd
 def _key_rows(batches: Iterator[pa.RecordBatch], rarity: Rarity, how: Similarity, buckets: int) -> Iterator[pa.RecordBatch]:
     schema = B.SHUFFLE_SCHEMA
     low = np.uint64((1 << HASH_BITS) - 1)
+    waiting: list[tuple[np.ndarray, ...]] = []
+
+    def rows_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(cols, schema)], schema=schema)
+
+    def packed_keys() -> pa.RecordBatch:
+        own, n, key, pos = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        return rows_of([(b, 0, _pack_keys(own[mine], n[mine], key[mine], pos[mine])) for b, mine in B.groups_of((key >> np.uint64(40)) % np.uint64(buckets))])
+
     for batch in batches:
         for tables, keys, texts in _slices(batch):
             row, run = _runs(tables, texts, how)
@@ -251,11 +264,12 @@ def _key_rows(batches: Iterator[pa.RecordBatch], rarity: Rarity, how: Similarity
             at, key, side = _split_hot(at, key, rarity.blocks(level[at]), owner[rank[at]])
             order = np.argsort(at, kind="stable")
             at, key, side = at[order], key[order], side[order]
-            for b, mine in B.groups_of((key >> np.uint64(40)) % np.uint64(buckets)):
-                pick = at[mine]
-                out.append((b, 0, _pack_keys(owner[rank[pick]], size[pick], key[mine], pos[pick] + (side[mine].astype(np.int64) << SIDE))))
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(cols, schema)], schema=schema)
+            waiting.append((owner[rank[at]], size[at], key, pos[at] + (side.astype(np.int64) << SIDE)))
+            yield rows_of(out)
+            if sum(len(w[0]) for w in waiting) >= KEYS_PER_PACK:
+                yield packed_keys()
+    if waiting:
+        yield packed_keys()
 
 
 def _text_hash(text: str) -> bytes:
