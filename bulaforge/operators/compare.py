@@ -46,8 +46,59 @@ def heading(kind: Column, reference: Column) -> Column:
     return F.concat(F.coalesce(*known, F.lit(OTHER_HEADING)), reference)
 
 
-def item_text(nth: Column, name: Column, species: Column, form: Column, link: Column) -> Column:
+def item_text(nth: Column, name: Column, species: Column, form: Column, link: Column, indent: str = "") -> Column:
     def line(label: str, value: Column) -> Column:
-        return F.coalesce(F.concat(F.lit(f"\n   - {label}: "), F.nullif(value, F.lit(""))), F.lit(""))
-
-    return F.concat(nth.cast("string"), F.lit(". **"), name, F.lit("**"), line("Espécies", species), line("Forma", form), line("Link", link))
+        return F.coalesce(F.concat(F.lit(f"\n{indent}   - {label}: "), F.nullif(value, F.lit(""))), F.lit(""))
+
+    return F.concat(F.lit(indent), nth.cast("string"), F.lit(". **"), name, F.lit("**"), line("Espécies", species), line("Forma", form), line("Link", link))
+
+
+# Messages of a comparison that finds nothing; {} is the reference.
+NO_REFERENCE = "Não foi possível identificar o medicamento de referência."
+NO_LISTING = "Não foi possível encontrar informações sobre '{}'."
+NO_SUBSTANCE = "Não foi possível identificar substâncias activas de '{}'."
+NO_ALTERNATIVE = "Não foram encontrados medicamentos alternativos para nenhuma das substâncias de '{}'."
+
+
+def answer_text(reference: Column, kind: Column, species: Column, listed: Column, found: Column) -> Column:
+    """The answer to a comparison. listed: the reference is in the catalogue; found: ARRAY<STRUCT<substance, items>>, the
+    other products of each of its substances, items being ARRAY<STRUCT<name, species, form, link>>."""
+
+    def about(message: str) -> Column:
+        return F.concat(*[x for part in message.split("{}") for x in (F.lit(part), reference)][:-1])
+
+    def numbered(items: Column, indent: str) -> Column:
+        return F.array_join(F.transform(items, lambda x, i: item_text(i + 1, x["name"], x["species"], x["form"], x["link"], indent)), "\n")
+
+    def species_line(label: str) -> Column:
+        return F.coalesce(F.concat(F.lit(label), F.nullif(species, F.lit(""))), F.lit(""))
+
+    title = F.concat(F.lit("**"), heading(kind, reference), F.lit(":**\n"))
+    lone = F.get(found, F.lit(0))
+    n = F.size(lone["items"]).cast("string")
+    single = F.concat(
+        title, F.lit("\nPrincípio activo: "), lone["substance"], species_line("\nEspécie: "), F.lit("\n\nMedicamentos encontrados ("), n, F.lit("):\n\n"), numbered(lone["items"], ""),
+        F.lit("\n\nTotal: "), n, F.lit(" medicamentos alternativos."),
+    )
+    some = F.filter(found, lambda x: F.size(x["items"]) > 0)
+    total = F.aggregate(found, F.lit(0), lambda t, x: t + F.size(x["items"]))
+
+    def part(x: Column, i: Column) -> Column:
+        body = F.concat(F.size(x["items"]).cast("string"), F.lit(" medicamento(s):\n"), numbered(x["items"], "  "))
+        return F.concat(F.lit("\n\n## "), (i + 1).cast("string"), F.lit(". "), x["substance"], F.lit("\n"), F.when(F.size(x["items"]) > 0, body).otherwise("Nenhum medicamento adicional encontrado."))
+
+    several = F.concat(
+        title, F.lit("\n"), reference, F.lit(" contém múltiplas substâncias activas:"), F.array_join(F.transform(found, lambda x: F.concat(F.lit("\n  - "), x["substance"])), ""),
+        species_line("\n\nEspécie-alvo: "), F.array_join(F.transform(found, part), ""),
+        F.lit("\n\nTotal: "), total.cast("string"), F.lit(" medicamentos alternativos em "), F.size(some).cast("string"), F.lit(" substância(s)."),
+    )
+    only = F.concat(F.lit("Apenas '"), reference, F.lit("' foi encontrado com '"), lone["substance"], F.lit("'."))
+    return (
+        F.when(F.coalesce(reference, F.lit("")) == "", NO_REFERENCE)
+        .when(~F.coalesce(listed, F.lit(False)), about(NO_LISTING))
+        .when(F.coalesce(F.size(found), F.lit(0)) < 1, about(NO_SUBSTANCE))
+        .when((F.size(found) == 1) & (F.size(some) == 0), only)
+        .when(F.size(found) == 1, single)
+        .when(F.size(some) == 0, about(NO_ALTERNATIVE))
+        .otherwise(several)
+    )

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from bulaforge.functions import answers as A
 from bulaforge.functions import entities as E
+from bulaforge.functions import language
 from bulaforge.functions.text import cache_key
-from bulaforge.operators import chunking, doses, fusion, lexical, resolve, sections
-from bulaforge.operators.packed_fields import explode_packed
+from bulaforge.operators import chunking, compare, doses, fusion, lexical, resolve, sections
 from bulaforge.session import cut
 from bulaforge.sources.tables import once_per_key, table
 
 TOP_K, BUDGET, LISTINGS = 8, 30_000, 10
+#: Name of the answer backend, part of the response cache's key.
+MODEL = "extractive"
 NOTHING_FOUND = "Não foram encontrados resultados para a tua pergunta."
 
 
@@ -37,11 +39,13 @@ def resolved(asked: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFrame:
-    """(qid, category, via, product, topic, species, confidence, n_chunks, cache_key, response) of every question.
+    """(qid, category, via, product, topic, species, confidence, n_chunks, cache_key, invalid_doses, language_ok, response) of every question.
+
+    A comparison is answered from the products of the same substances.
 
     The answer backend is extractive: the best chunk's opening stands for the model's answer, and the
     dose path answers from extracted doses. A model can replace it by a mapInPandas over `prompt`."""
-    listings = once_per_key(table(spark, base, "listings", ["listing_id", "name", "link", "species", "substances", "ingested_at"]), "listing_id").withColumn("name", F.trim("name"))
+    listings = once_per_key(table(spark, base, "listings", ["listing_id", "name", "link", "species", "form", "substances", "ingested_at"]), "listing_id").withColumn("name", F.trim("name"))
     chunks = once_per_key(table(spark, base, "chunks", ["chunk_id", "chunk_ord", "product", "section_num", "section_title", "is_table", "text"]), "chunk_id").where("text IS NOT NULL")
     # Read by many branches below: written once, so that the extraction runs once.
     asked = cut(classified(questions))
@@ -56,23 +60,47 @@ def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFram
     top = lexical.top_k(scored, "qid", [F.col("chunk_ord")], TOP_K)
     texts = top.withColumn("body", chunking.rendered(F.col("section_num"), F.col("section_title"), F.col("is_table"), F.col("text")))
     fit = cut(fusion.within_budget(texts.select("qid", "rank", "score", "text", "body"), "qid", "rank", "body", BUDGET))
-    mentioned = doses.extract(fit, ["qid"], ["rank"], "text").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "display"))), lambda d: d.display).alias("doses"))
+    # Doses count only where their context or section names the species asked about.
+    guarded = fit.join(scoped.select("qid", "species"), "qid")
+    mentioned = doses.extract(guarded, ["qid"], ["rank"], "text", species=F.col("species")).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "display"))), lambda d: d.display).alias("doses"))
     context = fit.groupBy("qid").agg(F.count("*").alias("n_chunks"), F.min_by("text", "rank").alias("first"), F.max("score").alias("best_score"))
     rows = asked.join(best, "qid", "left").join(others, "qid", "left").join(context, "qid", "left").join(mentioned, "qid", "left")
     none = F.array().cast("array<string>")
     listed = F.coalesce("doses", none)
     extract = F.regexp_extract("first", r"(?s)^\s*(.{1,400}?[.!?](?=\s|$)|.{1,400})", 1)
     by_dose = (F.col("e.topic") == "dose") & (F.size(listed) > 0)
-    text = F.when(F.col("n_chunks").isNull(), NOTHING_FOUND).when(by_dose, A.dose_answer(F.col("found_name"), F.col("e.species"), listed)).otherwise(extract)
-    foot = F.when(F.col("n_chunks").isNotNull(), A.provenance(F.col("found_name"), F.col("link"), F.when(F.col("ambiguous"), F.coalesce("others", none)).otherwise(none))).otherwise("")
-    confidence = F.when(F.col("n_chunks").isNull(), 0.1).when(by_dose, 0.85).otherwise(0.6)
-    key = cache_key("response", F.col("e.search_term"), F.col("e.topic"), F.coalesce("e.species", F.lit("")))
+    compared = comparisons(asked, found, listings)
+    rows = rows.join(compared, "qid", "left")
+    text = F.when(F.col("comparison").isNotNull(), F.col("comparison")).when(F.col("n_chunks").isNull(), NOTHING_FOUND).when(by_dose, A.dose_answer(F.col("found_name"), F.col("e.species"), listed)).otherwise(extract)
+    foot = F.when(F.col("comparison").isNull() & F.col("n_chunks").isNotNull(), A.provenance(F.col("found_name"), F.col("link"), F.when(F.col("ambiguous"), F.coalesce("others", none)).otherwise(none))).otherwise("")
+    confidence = F.when(F.col("comparison").isNotNull(), 0.8).when(F.col("n_chunks").isNull(), 0.1).when(by_dose, 0.85).otherwise(0.6)
+    # The model is part of the key: another model's answers are others.
+    key = cache_key("response", F.lit(MODEL), F.col("asked"), F.coalesce("e.search_term", F.lit("")), F.col("e.topic"), F.coalesce("e.species", F.lit("")))
     return rows.select(
         "qid", "category", "via", F.col("e.product").alias("product"), F.col("e.topic").alias("topic"), F.col("e.species").alias("species"),
-        confidence.alias("confidence"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), key.alias("cache_key"), F.concat(text, foot).alias("response"),
+        confidence.alias("confidence"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), key.alias("cache_key"),
+        A.invalid_doses(text, F.flatten(F.transform(listed, A.doses_in))).alias("invalid_doses"), language.guard(text)[0].alias("language_ok"), F.concat(text, foot).alias("response"),
     )
 
 
+def comparisons(asked: DataFrame, found: DataFrame, listings: DataFrame) -> DataFrame:
+    """(qid, comparison): the answers to the questions that compare products.
+
+    The substances of the best listing are joined by equality with the substances of all listings; per question and
+    substance the first LISTINGS products stay whose names don't contain the product's."""
+    wanted = asked.where("category = 'comparacao'").select("qid", F.col("e.product").alias("ref"), F.col("e.species").alias("species"), E.alternative_kind(F.col("asked")).alias("kind"))
+    each = listings.select("listing_id", "name", F.col("species").alias("l_species"), "form", "link", F.explode(F.filter("substances", lambda x: F.trim(x) != "")).alias("s")).withColumn("s", compare.base_name(F.col("s")))
+    own = wanted.join(found.where("rank = 1").select("qid", "listing_id"), "qid").join(each.select("listing_id", "s"), "listing_id").select("qid", "ref", "s").distinct()
+    others = own.join(each, "s").where(~F.contains(F.lower("name"), F.lower("ref"))).select("qid", "s", "listing_id", "name", "l_species", "form", "link").distinct()
+    first = others.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "s").orderBy("listing_id"))).where(F.col("nth") <= LISTINGS)
+    items = first.groupBy("qid", "s").agg(F.sort_array(F.collect_list(F.struct("nth", "name", F.col("l_species").alias("species"), "form", "link"))).alias("items"))
+    none = F.expr("cast(array() as array<struct<nth:int,name:string,species:string,form:string,link:string>>)")
+    per = own.join(items, ["qid", "s"], "left").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("s").alias("substance"), F.coalesce("items", none).alias("items")))).alias("per"))
+    known = found.where("rank = 1").select("qid", F.lit(True).alias("known"))
+    rows = wanted.join(known, "qid", "left").join(per, "qid", "left")
+    return rows.select("qid", compare.answer_text(F.col("ref"), F.col("kind"), F.col("species"), F.col("known"), F.coalesce("per", F.expr("cast(array() as array<struct<substance:string,items:array<struct<nth:int,name:string,species:string,form:string,link:string>>>>)"))).alias("comparison"))
+
+
 def scoped_bm25(asked: DataFrame, scope: DataFrame) -> DataFrame:
     """BM25 with statistics per question over its own scope: scope(qid, chunk_id, chunk_ord, …, text) with a score added.
     Chunks without a term of the question keep score 0, so a question always has its first chunks."""
@@ -90,9 +118,3 @@ def scoped_bm25(asked: DataFrame, scope: DataFrame) -> DataFrame:
     norm = F.col("tf") + lexical.K1 * (1 - lexical.B + lexical.B * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1.0)))
     score = j.groupBy("qid", "chunk_id").agg(F.sum(F.col("qn") * idf * F.col("tf") * (lexical.K1 + 1) / norm).alias("score"))
     return scope.join(score, ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-
-
-def species_rows(spark: SparkSession, base: str) -> DataFrame:
-    """(listing_id, species) exploded from the packed field."""
-    rows = once_per_key(table(spark, base, "listings", ["listing_id", "species", "ingested_at"]), "listing_id")
-    return explode_packed(rows, ["listing_id"], {"species": "list"}).select("listing_id", F.col("val").alias("species"))

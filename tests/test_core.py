@@ -261,3 +261,17 @@ def test_chained_follow_ups_as_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["session_id"], r["seq"]): r["rewritten"] for r in spark.table("chained").collect()}
     assert got == {("s", 1): None, ("s", 2): "Qual a dose do Zirovet para gatos?", ("s", 3): "Qual a composição do Zirovet?", ("t", 1): None}
+
+
+def test_comparison_path(spark):
+    from bulaforge.plans import pipeline
+
+    asked = pipeline.classified(spark.createDataFrame([(1, "Que alternativa ao Zirovet"), (2, "Qual a dose do Zirovet")], "qid bigint, text string"))
+    listings = spark.createDataFrame(
+        [(1, "Zirovet", "l1", "cães", "gel", ["Xaina 5 mg"]), (2, "Outrovet", "l2", "cães", None, ["xaina"]), (3, "Zirovet forte", "l3", None, None, ["Xaina 9 mg"])],
+        "listing_id bigint, name string, link string, species string, form string, substances array<string>",
+    )
+    found = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "qid bigint, listing_id bigint, rank int")
+    got = pipeline.comparisons(asked, found, listings).collect()
+    want = "**Medicamentos alternativos ao Zirovet:**\n\nPrincípio activo: xaina\n\nMedicamentos encontrados (1):\n\n1. **Outrovet**\n   - Espécies: cães\n   - Link: l2\n\nTotal: 1 medicamentos alternativos."
+    assert [tuple(r) for r in got] == [(1, want)]
