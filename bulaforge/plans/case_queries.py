@@ -79,7 +79,7 @@ _cases(
     [
         (("Que medicamentos existem para cães",), ("comparacao", 0.95, "rules")), (("alternativa ao Zirovet",), ("comparacao", 0.95, "rules")),
         (("Qual a dose do Zirovet",), ("medicamento", 0.9, "rules")), (("dose do medicamento xis",), ("medicamento", 0.95, "rules")),
-        (("Zirovet",), ("medicamento", 0.7, "rules")), (("olá",), ("medicamento", 0.3, "fallback")), (("Que medicamento é o Zirovet similar",), ("medicamento", 0.95, "rules")),
+        (("Zirovet",), ("medicamento", 0.7, "rules")), (("olá",), ("medicamento", 0.3, "fallback")), (("Que medicamento é o Zirovet similar",), ("medicamento", 0.7, "rules")),
     ],
 )
 
