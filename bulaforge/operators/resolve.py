@@ -22,17 +22,30 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def token_overlap(query: Column, target: Column) -> Column:
     """Share of the distinct query words of three or more characters that occur in the target."""
-    words = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) > 2))
+    words = _words(query)
     hits = F.size(F.filter(words, lambda w: F.contains(F.lower(target), w)))
     return F.when(F.size(words) == 0, 0.0).otherwise(hits / F.greatest(F.size(words), F.lit(1)))
 
 
+def _words(text: Column) -> Column:
+    """Distinct words of three or more characters, as `token_overlap` counts them."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2))
+
+
+def _trigrams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
 def candidates(asked: DataFrame, listings: DataFrame, qid: str, term: str, key: str, name: str) -> DataFrame:
-    """Pairs that share a word of three or more letters: an equality join on words instead of a contains join.
-    A word in very many names is skewed; its rows are narrow and AQE splits them."""
-    left = asked.select(qid, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.col(term)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))).alias("w"))
-    right = listings.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(name)), r"[^\p{L}\p{N}]+"))).alias("w"))
-    return left.join(right, "w").select(qid, key).distinct()
+    """All pairs where a word of the term stands anywhere in the name, also inside another word.
+
+    A name that holds a word holds each of its character trigrams, so one trigram of the word (the one of the largest
+    hash) joins by equality and the containment is verified on what meets. Names without a common trigram never meet."""
+    words = asked.select(qid, F.explode(_words(F.col(term))).alias("w"))
+    pick = F.array_max(F.transform(_trigrams(F.col("w")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    left = words.select(qid, "w", pick.getField("g").alias("g"))
+    right = listings.select(key, F.lower(F.col(name)).alias("n")).select(key, "n", F.explode(_trigrams(F.col("n"))).alias("g"))
+    return left.join(right, "g").where(F.contains("n", "w")).select(qid, key).distinct()
 
 
 def rank(pairs: DataFrame, qid: str, key: str, name_similarity: Column, overlap: Column, species_hit: Column, substance_hit: Column) -> DataFrame:

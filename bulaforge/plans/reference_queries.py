@@ -502,11 +502,11 @@ def prompts(s: SparkSession, b: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT DISTINCT qid, search_term AS term FROM entities WHERE search_term IS NOT NULL AND qid % 100 = 0), l AS (SELECT DISTINCT listing_id, trim(name) AS name FROM listings WHERE name IS NOT NULL),
-x AS (SELECT qid, listing_id, term, name FROM e, l WHERE len(list_intersect(list_filter(string_split_regex(lower(term),'[^\\p{L}\\p{N}]+'), lambda w: length(w)>2), string_split_regex(lower(name),'[^\\p{L}\\p{N}]+'))) > 0),
-w AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(term),'\\s+'), lambda w: length(w)>2)) AS ws FROM x)
-SELECT qid, listing_id, round(CASE WHEN len(ws)=0 THEN 0 ELSE len(list_filter(ws, lambda t: contains(lower(name), t)))::DOUBLE/len(ws) END, 4) AS overlap FROM w""")
+w AS (SELECT qid, term, list_distinct(list_filter(string_split_regex(lower(term),'\\s+'), lambda w: length(w)>2)) AS ws FROM e),
+x AS (SELECT qid, listing_id, name, ws FROM w, l WHERE len(list_filter(ws, lambda t: contains(lower(name), t))) > 0)
+SELECT qid, listing_id, round(CASE WHEN len(ws)=0 THEN 0 ELSE len(list_filter(ws, lambda t: contains(lower(name), t)))::DOUBLE/len(ws) END, 4) AS overlap FROM x""")
 def resolve_tokens(s: SparkSession, b: str) -> DataFrame:
-    """Word overlap of search terms with the listings that share a word."""
+    """Word overlap of search terms with the listings whose name holds one of their words; the SQL looks at all pairs."""
     e = table(s, b, "entities", ["qid", "search_term"]).where("search_term IS NOT NULL AND qid % 100 = 0").distinct().withColumnRenamed("search_term", "term")
     names = _listings(s, b).where("name IS NOT NULL").select("listing_id", F.trim("name").alias("name"))
     pairs = resolve.candidates(e, names, "qid", "term", "listing_id", "name").join(e, "qid").join(names, "listing_id")

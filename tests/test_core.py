@@ -275,3 +275,10 @@ def test_comparison_path(spark):
     got = pipeline.comparisons(asked, found, listings).collect()
     want = "**Medicamentos alternativos ao Zirovet:**\n\nPrincípio activo: xaina\n\nMedicamentos encontrados (1):\n\n1. **Outrovet**\n   - Espécies: cães\n   - Link: l2\n\nTotal: 1 medicamentos alternativos."
     assert [tuple(r) for r in got] == [(1, want)]
+
+
+def test_words_inside_other_words_are_candidates(spark):
+    asked = spark.createDataFrame([(1, "penicilina forte"), (2, "vet"), (3, "ab xy"), (4, None)], "qid int, term string")
+    listings = spark.createDataFrame([(1, "Benzilpenicilina"), (2, "Zirovet"), (3, "Forteza"), (4, None), (5, "x")], "listing_id int, name string")
+    got = resolve.candidates(asked, listings, "qid", "term", "listing_id", "name").collect()
+    assert {tuple(r) for r in got} == {(1, 1), (1, 3), (2, 2)}
