@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bulaforge.operators.resolve import holding
+from bulaforge.session import cut
+
 #: Fixed value: concentrations inside a substance text.
 CONCENTRATION = r"(?iu)\d+[.,]?\d*\s*(?:mg|ml|g|mcg|µg)(?:/(?:ml|kg|g))?"
 LABELLED = r"(?iu)Substância(?:s)?\s*(?:\(s\))?\s*Ativa(?:s)?\s*(?:\(s\))?[:]\s*(.+?)(?:\s*\|\s*Espécie|\s*$)"
@@ -25,20 +28,36 @@ def base_name(substance: Column) -> Column:
     return F.trim(bare)
 
 
-def alternatives(references: DataFrame, listed: DataFrame, per_substance: int | None = None) -> DataFrame:
-    """references(ref_id, ref_name, substance), listed(listing_id, name, substance) → (ref_id, substance, listing_id, name, nth).
-
-    An equality join on the substance; names that contain the reference's name are left out."""
-    pairs = references.join(listed, "substance").where(~F.contains(F.lower("name"), F.lower("ref_name")) & (F.col("ref_id") != F.col("listing_id")))
-    ranked = pairs.select("ref_id", "ref_name", "substance", "listing_id", "name").distinct()
-    nth = F.row_number().over(Window.partitionBy("ref_id", "substance").orderBy("listing_id"))
-    ranked = ranked.withColumn("nth", nth)
-    return ranked if per_substance is None else ranked.where(F.col("nth") <= per_substance)
-
-
-def counts(found: DataFrame) -> DataFrame:
-    """(ref_id, substances, total): how many substances have alternatives and how many there are."""
-    return found.groupBy("ref_id").agg(F.countDistinct("substance").alias("substances"), F.count("*").alias("total"))
+def _excluded(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """(ref_name, substance, listing_id): the products of the substance whose name contains the reference's, itself among them."""
+    names = listed.select("listing_id", "substance", F.lower("name").alias("n")).distinct()
+    return holding(wanted.withColumn("w", F.lower("ref_name")), names, "w", "n", on=["substance"]).select("ref_name", "substance", "listing_id").distinct()
+
+
+def alternatives(references: DataFrame, listed: DataFrame, per_substance: int = 10) -> DataFrame:
+    """references(ref_id, ref_name, substance), listed(listing_id, name, substance) → (ref_id, substance, listing_id, nth): the first products of
+    the substance whose names don't contain the reference's name.
+
+    No pairs of a substance are made: each distinct name asks by number for as many first products as it wants and leaves out."""
+    wanted = references.select("ref_name", "substance").distinct()
+    out = cut(_excluded(wanted, listed))
+    left_out = out.groupBy("ref_name", "substance").agg(F.count("*").alias("x"))
+    numbered = listed.select("listing_id", "substance").distinct().withColumn("at", F.row_number().over(Window.partitionBy("substance").orderBy("listing_id")))
+    asks = wanted.join(left_out, ["ref_name", "substance"], "left").withColumn("at", F.explode(F.sequence(F.lit(1), (F.coalesce("x", F.lit(0)) + per_substance).cast("int"))))
+    near = asks.join(numbered, ["substance", "at"]).join(out, ["ref_name", "substance", "listing_id"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("ref_name", "substance").orderBy("at"))
+    first = near.withColumn("nth", nth).where(F.col("nth") <= per_substance)
+    return references.join(first, ["ref_name", "substance"]).select("ref_id", "substance", "listing_id", "nth")
+
+
+def counts(references: DataFrame, listed: DataFrame) -> DataFrame:
+    """(ref_id, substances, total): how many substances have alternatives and how many there are: the products of each substance less those left out."""
+    wanted = references.select("ref_name", "substance").distinct()
+    left_out = _excluded(wanted, listed).groupBy("ref_name", "substance").agg(F.count("*").alias("x"))
+    sizes = listed.groupBy("substance").agg(F.countDistinct("listing_id").alias("n"))
+    each = wanted.join(sizes, "substance").join(left_out, ["ref_name", "substance"], "left").withColumn("others", F.col("n") - F.coalesce("x", F.lit(0))).where("others > 0")
+    rows = references.distinct().join(each, ["ref_name", "substance"])
+    return rows.groupBy("ref_id").agg(F.countDistinct("substance").alias("substances"), F.sum("others").alias("total"))
 
 
 def heading(kind: Column, reference: Column) -> Column:

@@ -42,10 +42,21 @@ def candidates(asked: DataFrame, listings: DataFrame, qid: str, term: str, key:
     A name that holds a word holds each of its character trigrams, so one trigram of the word (the one of the largest
     hash) joins by equality and the containment is verified on what meets. Names without a common trigram never meet."""
     words = asked.select(qid, F.explode(_words(F.col(term))).alias("w"))
-    pick = F.array_max(F.transform(_trigrams(F.col("w")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    left = words.select(qid, "w", pick.getField("g").alias("g"))
-    right = listings.select(key, F.lower(F.col(name)).alias("n")).select(key, "n", F.explode(_trigrams(F.col("n"))).alias("g"))
-    return left.join(right, "g").where(F.contains("n", "w")).select(qid, key).distinct()
+    return holding(words, listings.select(key, F.lower(F.col(name)).alias("n")), "w", "n").select(qid, key).distinct()
+
+
+def holding(words: DataFrame, texts: DataFrame, word: str, text: str, on: list[str] | None = None) -> DataFrame:
+    """Pairs of a row of words and a row of texts that contains its word, with equal columns `on`. Words of fewer than three
+    characters are left out, or with `on` compared directly."""
+    pick = F.array_max(F.transform(_trigrams(F.col(word)), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))).getField("g")
+    grams = texts.withColumn("_g", F.explode(_trigrams(F.col(text))))
+    long = words.where(F.length(word) >= 3).withColumn("_g", pick)
+    met = long.join(grams, ["_g", *(on or [])]).where(F.contains(text, word)).drop("_g")
+    if on is None:
+        return met
+    # A short word has no trigram of its own; within equal columns its rows are compared directly.
+    short = words.where(F.length(word) < 3).join(texts, on).where(F.contains(text, word))
+    return met.unionByName(short.select(*met.columns))
 
 
 def rank(pairs: DataFrame, qid: str, key: str, name_similarity: Column, overlap: Column, species_hit: Column, substance_hit: Column) -> DataFrame:

@@ -544,7 +544,7 @@ def alternatives(s: SparkSession, b: str) -> DataFrame:
 @query(f"WITH {_ALT} SELECT ref_id, count(DISTINCT substance) AS substances, count(*) AS total FROM p GROUP BY 1")
 def alternative_counts(s: SparkSession, b: str) -> DataFrame:
     """How many alternatives every listing has."""
-    return compare.counts(compare.alternatives(*_reference_pairs(s, b)))
+    return compare.counts(*_reference_pairs(s, b))
 
 
 @query("""SELECT listing_id, md5('1. **'||coalesce(trim(name),'')||'**'||coalesce(chr(10)||'   - Espécies: '||nullif(species,''),'')||coalesce(chr(10)||'   - Forma: '||nullif(form,''),'')||coalesce(chr(10)||'   - Link: '||nullif(link,''),'')) AS digest
