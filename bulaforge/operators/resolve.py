@@ -59,11 +59,15 @@ def holding(words: DataFrame, texts: DataFrame, word: str, text: str, on: list[s
     return met.unionByName(short.select(*met.columns))
 
 
+def total(name_similarity: Column, overlap: Column, species_hit: Column, substance_hit: Column) -> Column:
+    """The score of a pair."""
+    return WEIGHTS["name"] * name_similarity + WEIGHTS["tokens"] * overlap + WEIGHTS["species"] * species_hit.cast("double") + WEIGHTS["substance"] * substance_hit.cast("double")
+
+
 def rank(pairs: DataFrame, qid: str, key: str, name_similarity: Column, overlap: Column, species_hit: Column, substance_hit: Column) -> DataFrame:
     """pairs with score, rank, gap (to the next; 1.0 for a single candidate) and ambiguous."""
     w = Window.partitionBy(qid).orderBy(F.round("score", 9).desc(), key)
-    total = WEIGHTS["name"] * name_similarity + WEIGHTS["tokens"] * overlap + WEIGHTS["species"] * species_hit.cast("double") + WEIGHTS["substance"] * substance_hit.cast("double")
-    scored = pairs.withColumn("score", total).withColumn("rank", F.row_number().over(w))
+    scored = pairs.withColumn("score", total(name_similarity, overlap, species_hit, substance_hit)).withColumn("rank", F.row_number().over(w))
     return scored.withColumn("gap", F.coalesce(F.col("score") - F.lead("score").over(w), F.lit(1.0))).withColumn("ambiguous", F.round("gap", 9) < AMBIGUOUS_GAP)
 
 

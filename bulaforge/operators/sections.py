@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bulaforge.functions.dimensions import TOPIC_WORDS, TOPICS
@@ -29,3 +32,16 @@ def tiered(rows: DataFrame, group: list[str], order: str, topic: str, number: st
     nth = F.row_number().over(Window.partitionBy(*group, "hit2").orderBy(order))
     tier = F.when(F.col("any1"), F.when(F.col("hit1"), 1)).when(F.col("any2"), F.when(F.col("hit2") & (nth <= FALLBACK_ROWS), 2)).otherwise(3)
     return marked.withColumn("tier", tier).where("tier IS NOT NULL").drop("hit1", "hit2", "any1", "any2")
+
+
+def hits(number: str, title: str, body: str) -> tuple[Callable[[str], Column | None], Callable[[str], Column | None]]:
+    """As functions of a topic: whether a row's number begins with a target of the topic, and whether title or body hold a word of it; None where a topic has none."""
+    at = F.coalesce(F.col(number), F.lit(""))
+    said = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(body), F.lit(""))))
+    targets = {name: [F.startswith(at, F.lit(s.rstrip("."))) for s in secs] for name, _, secs in TOPICS}
+    words = {name: [F.contains(said, F.lit(w)) for w in ws] for name, ws in TOPIC_WORDS.items()}
+
+    def any_of(found: dict[str, list[Column]]) -> Callable[[str], Column | None]:
+        return lambda topic: functools.reduce(lambda a, b: a | b, found[topic]) if found.get(topic) else None
+
+    return any_of(targets), any_of(words)

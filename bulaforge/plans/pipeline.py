@@ -9,7 +9,8 @@ from bulaforge.functions import answers as A
 from bulaforge.functions import entities as E
 from bulaforge.functions import language
 from bulaforge.functions.text import cache_key
-from bulaforge.operators import chunking, compare, doses, fusion, lexical, resolve, sections
+from bulaforge.operators import chunking, compare, doses, fusion, resolve
+from bulaforge.operators import scoped as scoped_search
 from bulaforge.session import cut
 from bulaforge.sources.tables import once_per_key, table
 
@@ -27,15 +28,33 @@ def classified(questions: DataFrame) -> DataFrame:
 
 
 def resolved(asked: DataFrame, listings: DataFrame) -> DataFrame:
-    """(qid, listing_id, name, link, score, rank, gap, ambiguous): the listings that fit each question's search term, best first."""
-    near = resolve.candidates(asked.select("qid", F.col("e.search_term").alias("term")), listings, "qid", "term", "listing_id", "name")
-    rows = near.join(asked.select("qid", "e"), "qid").join(listings.select("listing_id", "name", "link", "species", "substances"), "listing_id")
-    term = F.col("e.search_term")
-    rows = rows.withColumn("name_sim", resolve.similarity(term, F.col("name"))).withColumn("overlap", resolve.token_overlap(term, F.col("name")))
-    hits = resolve.rank(
-        rows, "qid", "listing_id", F.col("name_sim"), F.col("overlap"), resolve.species_matches(F.col("e.species"), F.col("species")), resolve.substance_matches(F.col("e.substance"), F.col("substances"))
+    """(qid, listing_id, name, link, score, rank, gap, ambiguous): the listings that fit each question's search term, best first.
+
+    Terms and names are compared once each. A name stays only if its best possible score reaches the least one of names with
+    enough listings; of a name's listings with equal score for an entity the first ones stand."""
+    keep = LISTINGS + 1  # the gap of the last one is that to the next
+    e = asked.select("qid", F.col("e.search_term").alias("term"), F.col("e.species").alias("q_species"), F.col("e.substance").alias("q_substance"))
+    e = cut(e.withColumn("entity", F.min("qid").over(Window.partitionBy("q_species", "q_substance"))))
+    names = listings.groupBy("name").agg(F.count("*").alias("n"))
+    near = resolve.candidates(e.select("term").distinct(), names, "term", "term", "name", "name").join(names, "name")
+    near = near.withColumn("name_sim", resolve.similarity(F.col("term"), F.col("name"))).withColumn("overlap", resolve.token_overlap(F.col("term"), F.col("name")))
+    near = near.withColumn("least", resolve.total(F.col("name_sim"), F.col("overlap"), F.lit(False), F.lit(False))).withColumn("most", resolve.total(F.col("name_sim"), F.col("overlap"), F.lit(True), F.lit(True)))
+    w = Window.partitionBy("term")
+    near = near.withColumn("better", F.sum("n").over(w.orderBy(F.desc("least"), "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    near = near.withColumn("floor", F.when(F.sum("n").over(w) >= keep, F.min(F.when(F.col("better") < keep, F.col("least"))).over(w)))
+    # The margin covers the rounding of scores.
+    near = cut(near.where("floor IS NULL OR most >= floor - 1e-6").select("term", "name", "name_sim", "overlap"))
+    wanted = e.join(near, "term").select("entity", "q_species", "q_substance", "name").distinct()
+    met = wanted.join(listings.select("name", "listing_id", "species", "substances"), "name").select(
+        "entity", "name", "listing_id", resolve.species_matches(F.col("q_species"), F.col("species")).alias("species_hit"), resolve.substance_matches(F.col("q_substance"), F.col("substances")).alias("substance_hit")
     )
-    return hits.where(F.col("rank") <= LISTINGS).select("qid", "listing_id", "name", "link", "score", "rank", "gap", "ambiguous")
+    nth = F.row_number().over(Window.partitionBy("entity", "name", "species_hit", "substance_hit").orderBy("listing_id"))
+    first = met.withColumn("nth", nth).where(F.col("nth") <= keep).drop("nth")
+    asks = e.groupBy("term", "entity").agg(F.min("qid").alias("ask"))
+    rows = asks.join(near, "term").join(first, ["entity", "name"])
+    hits = resolve.rank(rows, "ask", "listing_id", F.col("name_sim"), F.col("overlap"), F.col("species_hit"), F.col("substance_hit")).where(F.col("rank") <= LISTINGS)
+    hits = hits.select("term", "entity", "listing_id", "score", "rank", "gap", "ambiguous").join(listings.select("listing_id", "name", "link"), "listing_id")
+    return e.select("qid", "term", "entity").join(hits, ["term", "entity"]).select("qid", "listing_id", "name", "link", "score", "rank", "gap", "ambiguous")
 
 
 def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFrame:
@@ -46,20 +65,18 @@ def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFram
     The answer backend is extractive: the best chunk's opening stands for the model's answer, and the
     dose path answers from extracted doses. A model can replace it by a mapInPandas over `prompt`."""
     listings = once_per_key(table(spark, base, "listings", ["listing_id", "name", "link", "species", "form", "substances", "ingested_at"]), "listing_id").withColumn("name", F.trim("name"))
-    chunks = once_per_key(table(spark, base, "chunks", ["chunk_id", "chunk_ord", "product", "section_num", "section_title", "is_table", "text"]), "chunk_id").where("text IS NOT NULL")
+    chunks = table(spark, base, "chunks", ["chunk_id", "chunk_ord", "product", "section_num", "section_title", "is_table", "text"])
     # Read by many branches below: written once, so that the extraction runs once.
+    listings = cut(listings)
     asked = cut(classified(questions))
     found = cut(resolved(asked, listings))
     best = found.where("rank = 1").select("qid", "listing_id", F.col("name").alias("found_name"), "link", "ambiguous")
     others = found.where("rank IN (2, 3)").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("others"))
     scoped = asked.select("qid", "asked", F.col("e.topic").alias("topic"), F.col("e.species").alias("species")).join(best, "qid")
-    mine = scoped.select("qid", "topic", F.lower("found_name").alias("p")).join(chunks.withColumn("p", F.lower("product")), "p")
-    tier = sections.tiered(mine, ["qid"], "chunk_ord", "topic", "section_num", "section_title", "text")
-    # Statistics of the scores are those of the chunks in scope, so they are counted per question.
-    scored = scoped_bm25(scoped.select("qid", "asked"), tier)
-    top = lexical.top_k(scored, "qid", [F.col("chunk_ord")], TOP_K)
+    searches, top = scoped_search.search(scoped.select("qid", "asked", "topic", F.lower("found_name").alias("p")), chunks, TOP_K)
     texts = top.withColumn("body", chunking.rendered(F.col("section_num"), F.col("section_title"), F.col("is_table"), F.col("text")))
-    fit = cut(fusion.within_budget(texts.select("qid", "rank", "score", "text", "body"), "qid", "rank", "body", BUDGET))
+    fit = cut(fusion.within_budget(texts.select("search", "rank", "score", "text", "body"), "search", "rank", "body", BUDGET))
+    fit = searches.join(fit, "search")
     # Doses count only where their context or section names the species asked about.
     guarded = fit.join(scoped.select("qid", "species"), "qid")
     mentioned = doses.extract(guarded, ["qid"], ["rank"], "text", species=F.col("species")).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "display"))), lambda d: d.display).alias("doses"))
@@ -89,32 +106,14 @@ def comparisons(asked: DataFrame, found: DataFrame, listings: DataFrame) -> Data
     The substances of the best listing are joined by equality with the substances of all listings; per question and
     substance the first LISTINGS products stay whose names don't contain the product's."""
     wanted = asked.where("category = 'comparacao'").select("qid", F.col("e.product").alias("ref"), F.col("e.species").alias("species"), E.alternative_kind(F.col("asked")).alias("kind"))
-    each = listings.select("listing_id", "name", F.col("species").alias("l_species"), "form", "link", F.explode(F.filter("substances", lambda x: F.trim(x) != "")).alias("s")).withColumn("s", compare.base_name(F.col("s")))
-    own = wanted.join(found.where("rank = 1").select("qid", "listing_id"), "qid").join(each.select("listing_id", "s"), "listing_id").select("qid", "ref", "s").distinct()
-    others = own.join(each, "s").where(~F.contains(F.lower("name"), F.lower("ref"))).select("qid", "s", "listing_id", "name", "l_species", "form", "link").distinct()
-    first = others.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "s").orderBy("listing_id"))).where(F.col("nth") <= LISTINGS)
+    each = listings.select("listing_id", "name", F.explode(F.filter("substances", lambda x: F.trim(x) != "")).alias("s")).withColumn("s", compare.base_name(F.col("s")))
+    own = cut(wanted.join(found.where("rank = 1").select("qid", "listing_id"), "qid").join(each.select("listing_id", "s"), "listing_id").select("qid", "ref", "s").distinct())
+    listed = each.where("name IS NOT NULL").select("listing_id", "name", F.col("s").alias("substance")).join(own.select(F.col("s").alias("substance")).distinct(), "substance", "left_semi")
+    first = compare.alternatives(own.select(F.col("qid").alias("ref_id"), F.lower("ref").alias("ref_name"), F.col("s").alias("substance")), cut(listed.distinct()), LISTINGS)
+    first = first.withColumnsRenamed({"ref_id": "qid", "substance": "s"}).join(listings.select("listing_id", "name", F.col("species").alias("l_species"), "form", "link"), "listing_id")
     items = first.groupBy("qid", "s").agg(F.sort_array(F.collect_list(F.struct("nth", "name", F.col("l_species").alias("species"), "form", "link"))).alias("items"))
     none = F.expr("cast(array() as array<struct<nth:int,name:string,species:string,form:string,link:string>>)")
     per = own.join(items, ["qid", "s"], "left").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("s").alias("substance"), F.coalesce("items", none).alias("items")))).alias("per"))
     known = found.where("rank = 1").select("qid", F.lit(True).alias("known"))
     rows = wanted.join(known, "qid", "left").join(per, "qid", "left")
     return rows.select("qid", compare.answer_text(F.col("ref"), F.col("kind"), F.col("species"), F.col("known"), F.coalesce("per", F.expr("cast(array() as array<struct<substance:string,items:array<struct<nth:int,name:string,species:string,form:string,link:string>>>>)"))).alias("comparison"))
-
-
-def scoped_bm25(asked: DataFrame, scope: DataFrame) -> DataFrame:
-    """BM25 with statistics per question over its own scope: scope(qid, chunk_id, chunk_ord, …, text) with a score added.
-    Chunks without a term of the question keep score 0, so a question always has its first chunks."""
-    from bulaforge.functions.text import tokens
-
-    counted = scope.select("qid", "chunk_id", tokens(F.concat_ws(" ", "section_title", "text")).alias("ts"))
-    lengths = counted.select("qid", "chunk_id", F.size("ts").alias("dl"))
-    w = Window.partitionBy("qid")
-    sized = lengths.withColumn("n", F.count("*").over(w)).withColumn("avgdl", F.avg("dl").over(w))
-    terms = asked.select("qid", F.explode(tokens(F.col("asked"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
-    tf = counted.select("qid", "chunk_id", F.explode("ts").alias("term")).join(terms, ["qid", "term"]).groupBy("qid", "chunk_id", "term", "qn").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("qid", "term")))
-    j = tf.join(sized, ["qid", "chunk_id"])
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + lexical.K1 * (1 - lexical.B + lexical.B * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1.0)))
-    score = j.groupBy("qid", "chunk_id").agg(F.sum(F.col("qn") * idf * F.col("tf") * (lexical.K1 + 1) / norm).alias("score"))
-    return scope.join(score, ["qid", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
