@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rank constant, least rest worth cutting a text for.
@@ -32,11 +32,20 @@ def expand(first: DataFrame, wider: DataFrame, qid: str, key: str) -> DataFrame:
     return once.select(qid, key, F.row_number().over(Window.partitionBy(qid).orderBy("at")).alias("ord"))
 
 
-def within_budget(texts: DataFrame, qid: str, order: str, text: str, budget: int) -> DataFrame:
-    """Texts in order while they fit; the first that doesn't is cut to the rest if the rest exceeds LEAST_REST.
-    Prefix sums are monotone, so stopping at the first overflow is a filter."""
+def _running(rows: DataFrame, qid: str, order: str, chars: Column, budget: int) -> DataFrame:
+    """Rows within the budget, with used, what stands before them. Prefix sums are monotone, so stopping at the first overflow is a filter."""
     w = Window.partitionBy(qid).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = texts.withColumn("run", F.sum(F.length(text)).over(w)).withColumn("used", F.col("run") - F.length(text))
-    fits, rest = F.col("run") <= budget, budget - F.col("used")
-    kept = run.where(fits | ((F.col("used") <= budget) & (rest > LEAST_REST)))
-    return kept.withColumn(text, F.when(fits, F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), rest.cast("int")))).drop("run", "used")
+    run = rows.withColumn("used", F.sum(chars).over(w) - chars)
+    return run.where((F.col("used") + chars <= budget) | ((F.col("used") <= budget) & (budget - F.col("used") > LEAST_REST)))
+
+
+def counted(rows: DataFrame, qid: str, order: str, chars: str, budget: int) -> DataFrame:
+    """Rows whose texts `within_budget` keeps, whole or cut, from their lengths."""
+    return _running(rows, qid, order, F.col(chars), budget).drop("used")
+
+
+def within_budget(texts: DataFrame, qid: str, order: str, text: str, budget: int) -> DataFrame:
+    """Texts in order while they fit; the first that doesn't is cut to the rest if the rest exceeds LEAST_REST."""
+    rest = budget - F.col("used")
+    kept = _running(texts, qid, order, F.length(text), budget)
+    return kept.withColumn(text, F.when(F.length(text) <= rest, F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), rest.cast("int")))).drop("used")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bulaforge.functions import answers as A
 from bulaforge.functions import entities as E
 from bulaforge.functions import language
+from bulaforge.functions.dimensions import SPECIES
 from bulaforge.functions.text import cache_key
-from bulaforge.operators import chunking, compare, doses, fusion, resolve
+from bulaforge.operators import compare, doses, fusion, resolve
 from bulaforge.operators import scoped as scoped_search
 from bulaforge.session import cut
 from bulaforge.sources.tables import once_per_key, table
@@ -27,12 +28,12 @@ def classified(questions: DataFrame) -> DataFrame:
     return q.withColumn("category", category).withColumn("class_confidence", confidence).withColumn("via", via)
 
 
-def resolved(asked: DataFrame, listings: DataFrame) -> DataFrame:
-    """(qid, listing_id, name, link, score, rank, gap, ambiguous): the listings that fit each question's search term, best first.
+def resolved(asked: DataFrame, listings: DataFrame, k: int = LISTINGS) -> DataFrame:
+    """(qid, listing_id, name, link, score, rank, gap, ambiguous): the k listings that fit each question's search term best, in order.
 
     Terms and names are compared once each. A name stays only if its best possible score reaches the least one of names with
     enough listings; of a name's listings with equal score for an entity the first ones stand."""
-    keep = LISTINGS + 1  # the gap of the last one is that to the next
+    keep = k + 1  # the gap of the last one is that to the next
     e = asked.select("qid", F.col("e.search_term").alias("term"), F.col("e.species").alias("q_species"), F.col("e.substance").alias("q_substance"))
     e = cut(e.withColumn("entity", F.min("qid").over(Window.partitionBy("q_species", "q_substance"))))
     names = listings.groupBy("name").agg(F.count("*").alias("n"))
@@ -52,7 +53,7 @@ def resolved(asked: DataFrame, listings: DataFrame) -> DataFrame:
     first = met.withColumn("nth", nth).where(F.col("nth") <= keep).drop("nth")
     asks = e.groupBy("term", "entity").agg(F.min("qid").alias("ask"))
     rows = asks.join(near, "term").join(first, ["entity", "name"])
-    hits = resolve.rank(rows, "ask", "listing_id", F.col("name_sim"), F.col("overlap"), F.col("species_hit"), F.col("substance_hit")).where(F.col("rank") <= LISTINGS)
+    hits = resolve.rank(rows, "ask", "listing_id", F.col("name_sim"), F.col("overlap"), F.col("species_hit"), F.col("substance_hit")).where(F.col("rank") <= k)
     hits = hits.select("term", "entity", "listing_id", "score", "rank", "gap", "ambiguous").join(listings.select("listing_id", "name", "link"), "listing_id")
     return e.select("qid", "term", "entity").join(hits, ["term", "entity"]).select("qid", "listing_id", "name", "link", "score", "rank", "gap", "ambiguous")
 
@@ -68,27 +69,23 @@ def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFram
     chunks = table(spark, base, "chunks", ["chunk_id", "chunk_ord", "product", "section_num", "section_title", "is_table", "text"])
     # Read by many branches below: written once, so that the extraction runs once.
     listings = cut(listings)
-    asked = cut(classified(questions))
-    found = cut(resolved(asked, listings))
+    asked = cut(classified(spread(questions)))
+    # Of the listings the best and two others are named.
+    found = cut(resolved(asked, listings, 3))
     best = found.where("rank = 1").select("qid", "listing_id", F.col("name").alias("found_name"), "link", "ambiguous")
     others = found.where("rank IN (2, 3)").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("others"))
-    scoped = asked.select("qid", "asked", F.col("e.topic").alias("topic"), F.col("e.species").alias("species")).join(best, "qid")
-    searches, top = scoped_search.search(scoped.select("qid", "asked", "topic", F.lower("found_name").alias("p")), chunks, TOP_K)
-    texts = top.withColumn("body", chunking.rendered(F.col("section_num"), F.col("section_title"), F.col("is_table"), F.col("text")))
-    fit = cut(fusion.within_budget(texts.select("search", "rank", "score", "text", "body"), "search", "rank", "body", BUDGET))
-    fit = searches.join(fit, "search")
-    # Doses count only where their context or section names the species asked about.
-    guarded = fit.join(scoped.select("qid", "species"), "qid")
-    mentioned = doses.extract(guarded, ["qid"], ["rank"], "text", species=F.col("species")).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "display"))), lambda d: d.display).alias("doses"))
-    context = fit.groupBy("qid").agg(F.count("*").alias("n_chunks"), F.min_by("text", "rank").alias("first"), F.max("score").alias("best_score"))
-    rows = asked.join(best, "qid", "left").join(others, "qid", "left").join(context, "qid", "left").join(mentioned, "qid", "left")
+    scoped = asked.select("qid", "asked", F.col("e.topic").alias("topic")).join(best, "qid")
+    searches, top = scoped_search.ranked(scoped.select("qid", "asked", "topic", F.lower("found_name").alias("p")), chunks, TOP_K)
+    context = searches.join(contexts(fusion.counted(top, "search", "rank", "chars", BUDGET), chunks), "search").drop("search")
+    rows = asked.join(best, "qid", "left").join(others, "qid", "left").join(context, "qid", "left")
     none = F.array().cast("array<string>")
-    listed = F.coalesce("doses", none)
-    extract = F.regexp_extract("first", r"(?s)^\s*(.{1,400}?[.!?](?=\s|$)|.{1,400})", 1)
+    # Doses count only where their context or section names the species asked about.
+    guarded = F.filter("doses", lambda d: F.col("e.species").isNull() | F.array_contains(d["species"], F.col("e.species")))
+    listed = F.coalesce(F.array_distinct(F.transform(guarded, lambda d: d["display"])), none)
     by_dose = (F.col("e.topic") == "dose") & (F.size(listed) > 0)
     compared = comparisons(asked, found, listings)
     rows = rows.join(compared, "qid", "left")
-    text = F.when(F.col("comparison").isNotNull(), F.col("comparison")).when(F.col("n_chunks").isNull(), NOTHING_FOUND).when(by_dose, A.dose_answer(F.col("found_name"), F.col("e.species"), listed)).otherwise(extract)
+    text = F.when(F.col("comparison").isNotNull(), F.col("comparison")).when(F.col("n_chunks").isNull(), NOTHING_FOUND).when(by_dose, A.dose_answer(F.col("found_name"), F.col("e.species"), listed)).otherwise(F.col("opening"))
     foot = F.when(F.col("comparison").isNull() & F.col("n_chunks").isNotNull(), A.provenance(F.col("found_name"), F.col("link"), F.when(F.col("ambiguous"), F.coalesce("others", none)).otherwise(none))).otherwise("")
     confidence = F.when(F.col("comparison").isNotNull(), 0.8).when(F.col("n_chunks").isNull(), 0.1).when(by_dose, 0.85).otherwise(0.6)
     # The model is part of the key: another model's answers are others.
@@ -100,6 +97,31 @@ def rag_answer(spark: SparkSession, base: str, questions: DataFrame) -> DataFram
     )
 
 
+def spread(questions: DataFrame) -> DataFrame:
+    """The questions over all tasks: their rows are few bytes and much work."""
+    return questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+
+
+def contexts(fit: DataFrame, chunks: DataFrame) -> DataFrame:
+    """fit(search, rank, chunk_id, h) → (search, n_chunks, opening, doses): the number of a search's chunks, the first one's opening, and all mentions
+    of doses in order with the species that each names. Openings and mentions are taken once a chunk, whatever the number of its searches."""
+    read = chunks.where("text IS NOT NULL").select(scoped_search.row_hash().alias("th"), F.col("chunk_id").alias("tid"), "text")
+    named = F.filter(F.array(*[F.lit(s) for s, _ in SPECIES]), lambda s: doses.names(s))
+    each = doses.mentions(read.where(F.col("text").rlike(doses.MENTION)).dropDuplicates(["th", "tid"]), ["th", "tid"], [], "text").select("th", "tid", "i_", "display", named.alias("species"))
+    said = each.groupBy("th", "tid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i_", "display", "species"))), lambda m: F.struct(m["display"].alias("display"), m["species"].alias("species"))).alias("doses"))
+
+    def same(h: str, key: str) -> Column:
+        return (F.col(h) == F.col("th")) & F.col(key).eqNullSafe(F.col("tid"))
+
+    rows = fit.join(said, same("h", "chunk_id"), "left")
+    inside = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doses"))), lambda m: m["doses"]), lambda d: d.isNotNull())
+    first = F.min_by(F.struct("h", "chunk_id"), "rank").alias("first")
+    made = cut(rows.groupBy("search").agg(F.count("*").alias("n_chunks"), first, F.flatten(inside).alias("doses")).select("search", "n_chunks", "doses", "first.h", "first.chunk_id"))
+    extract = F.regexp_extract("text", r"(?s)^\s*(.{1,400}?[.!?](?=\s|$)|.{1,400})", 1)
+    openings = scoped_search.keep_rows(read.select("th", "tid", extract.alias("opening")), "th", scoped_search.key_filter(made, "h"))
+    return made.join(openings.dropDuplicates(["th", "tid"]), same("h", "chunk_id")).select("search", "n_chunks", "opening", "doses")
+
+
 def comparisons(asked: DataFrame, found: DataFrame, listings: DataFrame) -> DataFrame:
     """(qid, comparison): the answers to the questions that compare products.
 

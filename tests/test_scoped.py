@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from bulaforge.functions.dimensions import TOPIC_WORDS, TOPICS
 from bulaforge.functions.text import ACCENTED, DROPPED, PLAIN
 from bulaforge.operators import resolve, scoped
@@ -92,6 +93,27 @@ def test_resolved_against_all_pairs(spark):
     assert sorted(got.collect()) == sorted(want.where(F.col("rank") <= pipeline.LISTINGS).select(*columns).collect()) and got.count() > 30
 
 
+def test_every_question_is_answered(spark, tmp_path):
+    base = str(tmp_path)
+    texts = ["Qual a dose de Zirovet em gatos?", "Qual a dose de Zirovet em porcos?", "Que validade tem o Lumigard?", "", None, "Qual a dose de Zirovet em gatos?"]
+    rows = [(i, None, 1, text, None) for i, text in enumerate(texts, 1)] + [(100, None, 1, "Dose do Zirovet", None)]
+    spark.createDataFrame(rows + rows[:2], "qid bigint, session_id string, seq int, text string, ingested_at timestamp").write.parquet(f"{base}/questions.parquet")
+    chunks = [
+        ("c1", 1, "Zirovet", "4.9", "Posologia", False, "A dose em gatos é de 5 mg/kg. Ver quadro."),
+        ("c2", 2, "zirovet", "4.9", "Posologia", False, f"A dose em suínos é de 7,5 mg/kg. {'x ' * 90}Ou ainda 9 mg/kg. Fim da dose."),
+        ("c3", 3, "Lumigard", "", "", False, "Tem validade de dois anos. Conservar."),
+    ]
+    spark.createDataFrame(chunks + chunks[:1], CHUNK).write.parquet(f"{base}/chunks.parquet")
+    spark.createDataFrame([(i, n, f"l/{i}", "gatos", "po", ["amoxi"], None) for i, n in enumerate(["Zirovet", "Lumigard", "Zirovet"])], LISTING).write.parquet(f"{base}/listings.parquet")
+    got = {r.qid: r for r in entry.queries()["rag_answer"](spark, base).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 100]
+    assert [got[i].n_chunks for i in (1, 2, 3, 4, 5, 6, 100)] == [2, 2, 1, 0, 0, 2, 2]
+    assert ", para gatos, a dose indicada é 5 mg/kg." in got[1].response and got[1].response == got[6].response
+    assert ", para suínos, as doses indicadas são:\n- 7.5 mg/kg\n- 9 mg/kg" in got[2].response
+    assert got[3].response.startswith("Tem validade de dois anos.\n") and got[4].response == got[5].response == pipeline.NOTHING_FOUND
+    assert all(f"- {d} mg/kg" in got[100].response for d in ("5", "7.5", "9"))
+
+
 def shuffled_rows(spark):
     sc = spark.sparkContext
     stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
